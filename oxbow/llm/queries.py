@@ -20,6 +20,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from oxbow.llm.lexicon import build_lexicon, encode_decode
+
+    docs, tokenizer = _table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"
+    return encode_decode(docs, tokenizer, build_lexicon(docs, tokenizer))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from oxbow.llm.media import media_column
+
+    return media_column(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from oxbow.llm.sharding import shuffle_into_shards
 
@@ -31,6 +44,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op7_bpe": op7_bpe,
+    "op8_media": op8_media,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
