@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oxbow.llm import contamination, linespread
+
 TOKENIZERS = os.environ.get("OXBOW_TOKENIZERS", "/opt/tokenizers")
 
 
@@ -20,6 +22,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linespread.remove_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from oxbow.llm.lexicon import build_lexicon, encode_decode
 
@@ -44,8 +54,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
     "op8_media": op8_media,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_line_dedup": linespread.ORACLE, "op6_decontamination": contamination.ORACLE}
