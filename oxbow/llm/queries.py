@@ -43,6 +43,16 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_column(_table(spark, sf_dir, "documents"))
 
 
+#: The key of the registered query; a user passes a secret of their own.
+DEMO_KEY = "oxbow-demo-key"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from oxbow.llm.surrogates import replace_personal_data
+
+    return replace_personal_data(_table(spark, sf_dir, "documents"), DEMO_KEY).select("doc_id", "text", "n_entities")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from oxbow.llm.sharding import shuffle_into_shards
 
@@ -58,6 +68,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
     "op8_media": op8_media,
+    "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
 }
 ORACLES = {"op4_line_dedup": linespread.ORACLE, "op6_decontamination": contamination.ORACLE}
