@@ -22,6 +22,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from oxbow.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linespread.remove_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -64,6 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_near_dup": op3_near_dup,
     "op4_line_dedup": op4_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
