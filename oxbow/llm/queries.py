@@ -32,6 +32,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linespread.remove_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from oxbow.llm.repeats import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_near_dup": op3_near_dup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_repeats": op5_repeats,
     "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
     "op8_media": op8_media,
