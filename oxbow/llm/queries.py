@@ -22,6 +22,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from oxbow.llm.langid import documents_and_pages, fit_text_model, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    rows = documents_and_pages(docs, _table(spark, sf_dir, "pages"))
+    return identify(rows, fit_text_model(docs), ("origin", "doc_id", "page_id"))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from oxbow.llm.neardup import near_duplicates
 
@@ -76,6 +84,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
     "op3_near_dup": op3_near_dup,
     "op4_line_dedup": op4_line_dedup,
     "op5_repeats": op5_repeats,
