@@ -17,3 +17,8 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from oxbow.plans import q_names, q_planning, q_transfer  # noqa: F401
