@@ -25,21 +25,26 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles_of(words: Column, k: int = SHINGLE) -> Column:
-    """Hashes of all runs of ``k`` words; of the whole sequence where it is shorter."""
-    n = F.size(words)
-    return (
-        F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(k)))))
-        .when(n > 0, F.array(F.xxhash64(words)))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
+def shingles_of(text: Column, k: int = SHINGLE) -> Column:
+    """Hashes of all runs of ``k`` words; of the whole sequence where it is shorter.
+
+    The words are bound to a lambda's variable, so a row's text is split once."""
+
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+        return (
+            F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(k)))))
+            .when(n > 0, F.array(F.xxhash64(words)))
+            .otherwise(F.array().cast("array<bigint>"))
+        )
+
+    return F.transform(F.array(words_of(text)), runs)[0]
 
 
 def item_sketches(items: DataFrame, item_col: str, text_col: str, containment: float) -> DataFrame:
     """item_id, shingles, n, sketch of every item that has words."""
     sets = (
-        items.select(items[item_col].alias("item_id"), words_of(items[text_col]).alias("words"))
-        .select("item_id", F.array_distinct(shingles_of(F.col("words"))).alias("shingles"))
+        items.select(items[item_col].alias("item_id"), F.array_distinct(shingles_of(items[text_col])).alias("shingles"))
         .withColumn("n", F.size("shingles"))
         .where(F.col("n") > 0)
     )
@@ -69,16 +74,15 @@ def find_contaminated(
     rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
     sketches = stage(item_sketches(items, item_col, item_text_col, containment).withColumn("item_key", F.xxhash64("item_id", "shingles")).dropDuplicates(["item_id", "item_key"]), "items")
     probes = stage(sketches.select(F.explode("sketch").alias("shingle"), "item_key").distinct(), "probes")
-    words = rows.select("text_key", words_of(F.col("text")).alias("words"))
     candidates = stage(
-        words.select("text_key", F.explode(shingles_of(F.col("words"))).alias("shingle"))
+        rows.select("text_key", F.explode(shingles_of(F.col("text"))).alias("shingle"))
         .join(probes, "shingle")
         .groupBy("text_key")
         .agg(F.collect_set("item_key").alias("item_keys")),
         "candidates",
     )
     sets = rows.join(candidates, "text_key").select(
-        "doc_id", "text_key", "item_keys", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("doc_shingles")
+        "doc_id", "text_key", "item_keys", F.array_distinct(shingles_of(F.col("text"))).alias("doc_shingles")
     )
     pairs = sets.select("doc_id", "text_key", "doc_shingles", F.explode("item_keys").alias("item_key")).join(sketches.drop("sketch"), "item_key")
     return pairs.select(
