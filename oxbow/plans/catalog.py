@@ -21,4 +21,4 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from oxbow.plans import q_containers, q_names, q_planning, q_transfer  # noqa: F401
+    from oxbow.plans import q_containers, q_misc, q_names, q_planning, q_transfer  # noqa: F401

@@ -1,0 +1 @@
+"""Structured Streaming: resumable ingestion and keyed state machines."""
