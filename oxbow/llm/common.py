@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A kernel works on slices of at most this many text bytes (or one longer document).
 SLICE_BYTES = 2 << 20
@@ -73,6 +74,28 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bits of a sieve: by the number of keys, up to 8 MB.
+SIEVE_BITS_EACH, SIEVE_BITS_MOST = 16, 1 << 26
+
+
+def sift(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` may be among ``keys``, and those whose key surely is not.
+
+    A bit table of bounded size is broadcast; so texts that a join would find nothing
+    for need no shuffle.  Where the table is full it holds back less, never wrongly.
+    ``keys`` is a staged table.
+    """
+    width = 1 << 15
+    n = min(SIEVE_BITS_MOST, max(width, 1 << (SIEVE_BITS_EACH * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(n))
+    cell, bit = F.floor(place / width).cast("long"), F.pmod(place, F.lit(width))
+    bits = keys.select(cell.alias("_cell"), bit.alias("_bit")).groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2.0), (bit % 8).cast("int"))).cast("int") % 2 == 1, F.lit(False))
+    marked = rows.withColumn("_cell", cell).join(F.broadcast(bits), "_cell", "left")  # at most SIEVE_BITS_MOST bits
+    return marked.where(hit).select(rows.columns), marked.where(~hit).select(rows.columns)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n+1 offsets of a string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -25,17 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oxbow.llm import shingles as S
-from oxbow.llm.common import free_shuffles, slices, stage, text_buffer, unstage
+from oxbow.llm.common import free_shuffles, sift, slices, stage, text_buffer, unstage
 from oxbow.llm.graph import components
 
 #: Similarity at which documents are linked, in hundredths.
 THRESHOLD = 75
-#: Bands and rows: a pair at the threshold misses all bands with chance (1 - .75^4)^32 = 5e-6.
-BANDS, ROWS = 32, 4
 #: Chance, given what was compared, at which a pair is given up.
-MISS = 1e-6
+MISS = 1e-5
 #: Signature places compared at a time.
-BATCH = 32
+BATCH = 64
 #: Members of a block when a bucket is compared block against block.
 BLOCK = 256
 
@@ -75,7 +73,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             raw, offsets = text_buffer(part.column(1))
             for i, j in slices(offsets, 1 << 20):
                 sets = S.shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                signs = S.signatures(sets)
+                signs, bands = S.signatures(sets)
                 keys = [S.set_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -84,17 +82,18 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
                         pa.array([r.tobytes() for r in signs], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * S.BANDS, pa.int32()), pa.array(bands.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "key_a", "key_b", "signature"],
+                    names=["doc_id", "n_shingles", "key_a", "key_b", "signature", "bands"],
                 )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary, bands array<long>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     raw, _ = text_buffer(column)
-    return raw.view(np.uint32).reshape(len(column), S.PERMUTATIONS)
+    return raw.reshape(len(column), S.PERMUTATIONS)
 
 
 def _prune(threshold: int):
@@ -140,14 +139,20 @@ def _block_pairs(threshold: int):
         sign = np.concatenate([g[3] for g in group])
         i, j = int(group[0][4]), int(group[0][5])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        k, least = least_matches(threshold / 100, MISS, BATCH)[0]
         out_a, out_b = [], []
-        for x in left.tolist():
-            others = right[node[right] > node[x]] if i == j else right
-            others = others[root[others] != root[x]]
-            if len(others):
-                live = survivors(np.broadcast_to(sign[x], (len(others), S.PERMUTATIONS)), sign[others], threshold / 100)
-                out_a += [int(node[x])] * len(live)
-                out_b += node[others[live]].tolist()
+        for s in range(0, len(left), 64):  # all pairs of the first batch at once, in bounded pieces
+            x = left[s : s + 64]
+            for t in range(0, len(right), 1024):
+                y = right[t : t + 1024]
+                same = (sign[x, None, :k] == sign[None, y, :k]).sum(axis=2, dtype=np.int16)
+                go = (same >= least) & (root[x][:, None] != root[None, y])
+                if i == j:
+                    go &= node[x][:, None] < node[None, y]
+                a, b = np.nonzero(go)
+                live = survivors(sign[x[a]], sign[y[b]], threshold / 100)
+                out_a += node[x[a[live]]].tolist()
+                out_b += node[y[b[live]]].tolist()
         return out_a, out_b
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,17 +194,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = stage(_sketch(docs, id_col, text_col), "sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    firsts = classes.select(F.col("node").alias("doc_id"))
-    heads = stage(
-        full.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "signature").dropDuplicates(["node"]), "heads"
-    )
-    bands = stage(
-        heads.select(
-            "node",
-            F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("signature", k * (ROWS * 4) + 1, F.lit(ROWS * 4))))).alias("bucket"),
-        ),
-        "bands",
-    )
+    named = classes.select(F.col("node").alias("doc_id"))
+    firsts = stage(full.join(named, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "signature", "bands").dropDuplicates(["node"]), "heads")
+    heads = firsts.select("node", "signature")
+    bands = stage(firsts.select("node", F.explode("bands").alias("bucket")), "bands")
     buckets = stage(bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = stage(bands.join(buckets, "bucket").where("node <> head or n > 2"), "members")
     unstage(bands)
@@ -210,13 +208,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Those of ``pairs`` that reach the threshold on their full sets."""
         pairs = stage(pairs, f"{name}-pruned")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        some = stage(texts.join(ids, "node", "left_semi").dropDuplicates(["node"]), f"{name}-texts")
+        ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-ids")
+        some = stage(sift(texts, ids, "node")[0].join(ids, "node", "left_semi").dropDuplicates(["node"]), f"{name}-texts")
         wide = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
             some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
         )
         out = stage(wide.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a long, b long"), f"{name}-links")
-        unstage(pairs, some)
+        unstage(pairs, some, ids)
         free_shuffles(spark)
         return out
 
