@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oxbow.llm.common import stage
+from oxbow.llm.common import sift, stage
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
@@ -197,13 +197,15 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
         "swaps",
     )
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    mentions = F.when(F.col("swap").isNotNull(), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    out = rows.join(by_text, "text_key", "left").select("row", "text", "swap", mentions.alias("said"))
+    perhaps, others = sift(rows, by_text, "text_key")
+    out = perhaps.join(by_text, "text_key", "left").withColumn("said", F.when(F.col("swap").isNotNull(), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
     between = F.split("text", PATTERN, -1)
     new = F.array_join(
         F.flatten(F.zip_with(between, "said", lambda a, m: F.array(a, F.coalesce(F.element_at(F.col("swap"), m), F.lit(""))))), ""
     )
-    return out.select(
-        *[(F.when(F.col("said").isNotNull(), new).otherwise(F.col("text")) if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns],
-        F.coalesce(F.size("said"), F.lit(0)).cast("long").alias("n_entities"),
-    )
+
+    def shown(text: Column, n: Column) -> list[Column]:
+        return [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns] + [n.cast("long").alias("n_entities")]
+
+    replaced = out.select(*shown(F.when(F.col("said").isNotNull(), new).otherwise(F.col("text")), F.coalesce(F.size("said"), F.lit(0))))
+    return replaced.union(others.select(*shown(F.col("text"), F.lit(0))))
