@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from oxbow.llm.common import slices, text_buffer
 
 #: Words that the transducer holds at most.
-LEXICON_WORDS = 60_000
+LEXICON_WORDS = 100_000
 #: Longer words are merged, not looked up.
 LEXICON_WORD_BYTES = 48
 #: Distinct words that a worker counts or remembers before it lets go of them.
@@ -59,12 +59,16 @@ class WordPairs:
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        self.rank = {pair: k for k, pair in enumerate(pairs)}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        # A pair of ids gives the rank of its merge; a rank gives the merged id.
+        self.rank = {self.ids[a] << 20 | self.ids[b]: k for k, (a, b) in reversed([*enumerate(pairs)])}
+        self.merged = [self.ids[a + b] for a, b in pairs]
         self.token = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token.update({i: t for t, i in self.special.items()})
-        self.signs = _byte_signs()
+        signs = _byte_signs()
+        self.inner = [self.ids.get(c, -1) for c in signs]
+        self.last = [self.ids.get(c + self.suffix, -1) for c in signs]
         self.word = regex.compile(_WORD)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -86,27 +90,20 @@ class WordPairs:
     def merge(self, word: str) -> list[int]:
         if word[:1] == "\0" and word[1:] in self.special:
             return [self.special[word[1:]]]
-        parts = [self.signs[b] for b in word.encode("utf-8", "replace")]
-        parts[-1] += self.suffix
-        rank = self.rank.get
-        far = len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank(p, far) for p in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == far:
-                break
-            pair = next(p for p, r in zip(zip(parts, parts[1:]), ranks) if r == best)
-            out, k, last = [], 0, len(parts) - 1
-            while k <= last:
-                if k < last and parts[k] == pair[0] and parts[k + 1] == pair[1]:
-                    out.append(pair[0] + pair[1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        ids = self.ids
-        return [ids[p] for p in parts if p in ids]
+        raw = word.encode("utf-8", "replace")
+        parts = [*map(self.inner.__getitem__, raw)]
+        parts[-1] = self.last[raw[-1]]
+        rank, merged, far = self.rank.get, self.merged, len(self.merged)
+        ranks = [rank(a << 20 | b, far) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != far:
+            k = ranks.index(best)
+            parts[k : k + 2] = (merged[best],)
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank(parts[k - 1] << 20 | parts[k], far)
+            if k < len(ranks):
+                ranks[k] = rank(parts[k] << 20 | parts[k + 1], far)
+        return [p for p in parts if p >= 0] if -1 in parts else parts
 
 
 def compile_transducer(entries: dict[bytes, list[int]]) -> bytes:
