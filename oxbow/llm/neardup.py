@@ -130,14 +130,17 @@ def _verify(threshold: int):
 
 
 def _block_pairs(threshold: int):
-    """Rows (bucket, i, j, node, root, block, signature), sorted by bucket, i, j: compares block i with block j."""
+    """Rows (bucket, i, j, node, root, block, band, signature), sorted by bucket, i, j: compares
+    block i with block j.  A pair counts in the first of the bands that it shares only; there
+    its bucket holds both, and none of the two as its smallest member unless that pair is
+    already compared."""
 
     def compare(group: list) -> tuple[list, list]:
         node = np.concatenate([g[0] for g in group])
         root = np.concatenate([g[1] for g in group])
         block = np.concatenate([g[2] for g in group])
         sign = np.concatenate([g[3] for g in group])
-        i, j = int(group[0][4]), int(group[0][5])
+        i, j, band = (int(group[0][k]) for k in (4, 5, 6))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         k, least = least_matches(threshold / 100, MISS, BATCH)[0]
         out_a, out_b = [], []
@@ -150,6 +153,10 @@ def _block_pairs(threshold: int):
                 if i == j:
                     go &= node[x][:, None] < node[None, y]
                 a, b = np.nonzero(go)
+                if band:
+                    fore = (sign[x, : band * S.ROWS][a] == sign[y, : band * S.ROWS][b]).reshape(len(a), band, S.ROWS)
+                    first = ~fore.all(axis=2).any(axis=1)
+                    a, b = a[first], b[first]
                 live = survivors(sign[x[a]], sign[y[b]], threshold / 100)
                 out_a += node[x[a[live]]].tolist()
                 out_b += node[y[b[live]]].tolist()
@@ -165,8 +172,8 @@ def _block_pairs(threshold: int):
         for part in parts:
             if not part.num_rows:
                 continue
-            bucket, i, j, node, root, block = (part.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            sign = _matrix(part.column(6))
+            bucket, i, j, node, root, block, band = (part.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            sign = _matrix(part.column(7))
             cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)]):
                 key = (bucket[s], i[s], j[s])
@@ -174,7 +181,7 @@ def _block_pairs(threshold: int):
                     yield emit()
                     group = []
                 last = key
-                group.append((node[s:e], root[s:e], block[s:e], sign[s:e], i[s], j[s]))
+                group.append((node[s:e], root[s:e], block[s:e], sign[s:e], i[s], j[s], band[s]))
         if group:
             yield emit()
 
@@ -197,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.select(F.col("node").alias("doc_id"))
     firsts = stage(full.join(named, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "signature", "bands").dropDuplicates(["node"]), "heads")
     heads = firsts.select("node", "signature")
-    bands = stage(firsts.select("node", F.explode("bands").alias("bucket")), "bands")
+    bands = stage(firsts.select("node", F.posexplode("bands").alias("band", "bucket")), "bands")
     buckets = stage(bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = stage(bands.join(buckets, "bucket").where("node <> head or n > 2"), "members")
     unstage(bands)
@@ -230,17 +237,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = (
         members.where("n > 2 and node <> head")
         .join(roots, "node", "left")
-        .select("bucket", "n", "node", F.coalesce("root", "node").alias("root"))
+        .select("bucket", "band", "n", "node", F.coalesce("root", "node").alias("root"))
     )
     mixed = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         rest.join(mixed, "bucket", "left_semi")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .select("bucket", "node", "root", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block")
+        .select("bucket", "band", "node", "root", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", "band")
         .join(heads, "node")
-        .select("bucket", "i", "j", "node", "root", "block", "signature")
+        .select("bucket", "i", "j", "node", "root", "block", "band", "signature")
     )
     more = (
         dealt.repartition("bucket", "i", "j")
