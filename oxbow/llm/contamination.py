@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oxbow.llm.common import stage
+from oxbow.llm.common import sift, stage
 
 SHINGLE = 5
 CONTAINMENT = 0.75
@@ -81,7 +81,7 @@ def find_contaminated(
         .agg(F.collect_set("item_key").alias("item_keys")),
         "candidates",
     )
-    sets = rows.join(candidates, "text_key").select(
+    sets = sift(rows, candidates, "text_key")[0].join(candidates, "text_key").select(
         "doc_id", "text_key", "item_keys", F.array_distinct(shingles_of(F.col("text"))).alias("doc_shingles")
     )
     pairs = sets.select("doc_id", "text_key", "doc_shingles", F.explode("item_keys").alias("item_key")).join(sketches.drop("sketch"), "item_key")
@@ -96,7 +96,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
     text_col = options.get("text_col", "text")
     bad = stage(find_contaminated(docs, items, **options).select("text_key").distinct(), "contaminated")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs[text_col]).alias("text_key"))
-    return rows.join(bad, "text_key", "left_anti").select("row.*")
+    perhaps, others = sift(rows, bad, "text_key")
+    return perhaps.join(bad, "text_key", "left_anti").select("row.*").union(others.select("row.*"))
 
 
 ORACLE = f"""
