@@ -6,7 +6,7 @@ or the next smaller position, so a position repeats at least ``LENGTH`` bytes ex
 if its run of suffixes with a common prefix of that length holds a smaller document.
 
 Suffixes are compared only where a repeat is possible.  Each window of ``LENGTH``
-bytes contains an anchor, its least 24-byte gram by hash, that depends on the window
+bytes contains an anchor, its least 16-byte gram by hash, that depends on the window
 alone; equal windows have equal anchors.  Steps:
 
 1. Texts are packed into bundles of about a megabyte (one staged table).
@@ -14,12 +14,15 @@ alone; equal windows have equal anchors.  Steps:
    one bit each: is the anchor in two documents at least.  Whole-text digests go the
    same way and tell which documents are copies of an earlier one.
 3. Around anchors that repeat, bundles send the windows' bytes, equal ones of one
-   bundle only once, to buckets that sort them in suffix order.
+   bundle only once, to buckets that sort them in suffix order.  Windows of an anchor
+   that very many bundles hold are sent one by one, by their own hash, so that no
+   bucket gathers all that surrounds a common passage.
 4. Bundles get back the repeated spans and cut them.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -34,79 +37,95 @@ from pyspark.sql import functions as F
 from oxbow.llm.common import free_shuffles, slices, stage, text_buffer, unstage
 
 #: Bytes of a repeat, of an anchor's gram, and windows that one anchor can serve.
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
 BUNDLE_BYTES = 1 << 20
 #: Text bytes whose anchors share a bucket, on average.
 BUCKET_BYTES = 4 << 20
+#: An anchor's windows go by their own hash if so many bundles hold it, or one so many times.
+HOT, CROWDED = 256, 64
+#: Bytes whose grams are hashed at a time, and pieces that are compared at a time.
+CACHED, PIECES = 128 << 10, 20_000
 
 _rng = np.random.default_rng(50)
-_BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-_STEP = _rng.integers(1, 1 << 63, 6, np.uint64) | np.uint64(1)
+_BYTE = _rng.integers(1, 1 << 32, 256).astype(np.uint32) | np.uint32(1)
+_STEP = _rng.integers(1, 1 << 32, 5).astype(np.uint32) | np.uint32(1)
+_NAME = _rng.integers(1, 1 << 63, 2, np.uint64) | np.uint64(1)
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
-    """Hash of the 24 bytes from each position on, by doubling."""
-    h1 = _BYTE[raw]
-    h2 = h1[:-1] * _STEP[0] + h1[1:]
-    h4 = h2[:-2] * _STEP[1] + h2[2:]
-    h8 = h4[:-4] * _STEP[2] + h4[4:]
-    h16 = h8[:-8] * _STEP[3] + h8[8:]
-    h = h16[:-8] * _STEP[4] + h8[16:]
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(29)
+    """32-bit hash of the 16 bytes from each position on, by doubling."""
+    h = _BYTE[raw]
+    for k in range(4):
+        h = h[: len(h) - (1 << k)] * _STEP[k] + h[1 << k :]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(12)
     return h
 
 
-def _slide(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
-    """``pick`` over each run of REACH (27) values, by doubling."""
+def _least(x: np.ndarray) -> np.ndarray:
+    """Minimum of each run of REACH values, by doubling."""
     y, n = x, 1
     while 2 * n <= REACH:
-        y = pick(y[:-n], y[n:])
+        y = np.minimum(y[:-n], y[n:])
         n *= 2
-    return pick(y[: len(y) - (REACH - n)], y[REACH - n :])
+    return np.minimum(y[: len(y) - (REACH - n)], y[REACH - n :])
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash, first window, windows) of each anchor that serves some window.
-
-    A window is served by the leftmost of its least grams; windows lie within one
-    document.  The windows that an anchor serves are consecutive.
-    """
+def _anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
-        return none, np.zeros(0, np.uint64), none, none
+        return none, none, none
     h = _grams(raw)
-    least = _slide(h, np.minimum)  # by window start
+    least = _least(h)  # by window start
     n = len(least)
-    valid = np.zeros(len(raw) + 1, np.int32)
-    start, end = offsets[:-1], offsets[1:] - LENGTH + 1
-    long_ = end > start
-    np.add.at(valid, start[long_], 1)
-    np.add.at(valid, end[long_], -1)
-    valid = np.cumsum(valid[:n]) > 0
-    window = np.flatnonzero(valid)
-    # The leftmost least gram: candidates are positions equal to the least of some window.
-    high = np.where(valid, least, np.uint64(0))
-    padded = np.zeros(n + 2 * (REACH - 1), np.uint64)
-    padded[REACH - 1 : REACH - 1 + n] = high
-    is_anchor = _slide(padded, np.maximum)[: len(h)] == h
-    at = np.flatnonzero(is_anchor)
-    # Equal grams within one window are rare; the leftmost is found by stepping on.
-    k = np.searchsorted(at, window)
-    want = least[window]
-    off = h[at[np.minimum(k, len(at) - 1)]] != want if len(at) else np.zeros(0, bool)
-    while off.any():
-        k[off] += 1
-        off[off] = h[at[k[off]]] != want[off]
-    if not len(window):
-        return none, np.zeros(0, np.uint64), none, none
-    cut = np.flatnonzero(np.diff(k) | (np.diff(window) != 1)) + 1
-    first = np.concatenate(([0], cut))
-    count = np.diff(np.append(first, len(window)))
-    where = at[k[first]]
-    return where, h[where], window[first], count
+    valid = np.zeros(n, bool)
+    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if e - s >= LENGTH:
+            valid[s : e - LENGTH + 1] = True
+    fresh = np.empty(n, bool)  # the window before has another anchor
+    fresh[0] = True
+    fresh[1:] = least[1:] != least[:-1]
+    fresh[1:] |= h[: n - 1] == least[:-1]
+    fresh[1:] |= ~valid[:-1]
+    fresh &= valid
+    first = np.flatnonzero(fresh)
+    if not len(first):
+        return none, none, none
+    ends = valid.copy()
+    ends[:-1] &= fresh[1:] | ~valid[1:]
+    count = np.flatnonzero(ends) + 1 - first
+    at = first + np.lib.stride_tricks.sliding_window_view(h, REACH)[first].argmin(axis=1)
+    return at, first, count
+
+
+def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, name, first window, windows) of each anchor that serves some window.
+
+    A window is served by the leftmost of its least grams; windows lie within one
+    document.  The windows that an anchor serves are consecutive.  An anchor's name is
+    a 64-bit hash of its gram.
+    """
+    parts = []
+    for i, j in slices(offsets, CACHED):
+        s = offsets[i]
+        at, first, count = _anchors(raw[s : offsets[j]], offsets[i : j + 1] - s)
+        parts.append((at + s, first + s, count))
+    at, first, count = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+    if not len(at):
+        return at, np.zeros(0, np.uint64), first, count
+    gram = np.lib.stride_tricks.sliding_window_view(raw, GRAM)[at].view(np.uint64)
+    name = gram[:, 0] * _NAME[0]
+    name ^= name >> np.uint64(32)
+    name = (name + gram[:, 1]) * _NAME[1]
+    name ^= name >> np.uint64(29)
+    name *= np.uint64(0xFF51AFD7ED558CCD)
+    name ^= name >> np.uint64(32)
+    return at, name, first, count
+
+
+_HEAD = np.dtype([("id", "<i8"), ("doc", "<u4"), ("local", "<u4"), ("count", "u1"), ("shift", "u1")])
 
 
 class _Bundle:
@@ -126,6 +145,10 @@ class _Bundle:
         self.at, self.hash, self.first, self.count, self.doc = (x[use] for x in (self.at, self.hash, self.first, self.count, self.doc))
         self.distinct, self.place = np.unique(self.hash, return_inverse=True)
 
+    @functools.cached_property
+    def text_bytes(self) -> bytes:
+        return self.raw.tobytes()
+
     def text(self, d: int) -> np.ndarray:
         return self.raw[self.offsets[d] : self.offsets[d + 1]]
 
@@ -136,7 +159,7 @@ class _Bundle:
 def _bundles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = TaskContext.get().partitionId() << 32
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for part in parts:
             raw, offsets = text_buffer(part.column(1))
             known = np.asarray(part.column(0).is_valid())
@@ -178,13 +201,16 @@ def _send_anchors(n_buckets: int):
             for k, b, _ in _each_bundle(part):
                 b.find()
                 rows = []
-                pairs = np.unique(np.stack([b.place, b.doc]), axis=1) if len(b.doc) else np.zeros((2, 0), np.int64)
-                shared = np.bincount(pairs[0], minlength=len(b.distinct)) > 1
+                low, high = np.full(len(b.distinct), len(b.ids)), np.full(len(b.distinct), -1)
+                np.minimum.at(low, b.place, b.doc)
+                np.maximum.at(high, b.place, b.doc)
+                shared = low < high
+                crowded = np.bincount(b.place, minlength=len(b.distinct)) >= CROWDED
                 bucket = _bucket_of(b.distinct, n_buckets)
                 cut = np.flatnonzero(np.diff(bucket)) + 1
                 for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)]):
                     if e > s:
-                        rows.append((int(bucket[s]), k, b.distinct[s:e].astype(np.uint32).tobytes(), np.packbits(shared[s:e]).tobytes()))
+                        rows.append((int(bucket[s]), k, b.distinct[s:e].astype(np.uint32).tobytes(), np.packbits([shared[s:e], crowded[s:e]], axis=1).tobytes()))
                 # whole texts: digest and id, to buckets of their own
                 digest = b.digests()
                 to = digest.view(np.uint64)[::2] % np.uint64(n_buckets) if len(digest) else np.zeros(0, np.uint64)
@@ -211,21 +237,25 @@ def _by_bucket(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
 
 
 def _answer_anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bit for each anchor of a message, in its order; for digests, the documents that copy an earlier one."""
+    """For each anchor of a message, in its order: is it in two documents, is it in very many bundles; for digests, the documents that copy an earlier one."""
     for bucket, rows in _by_bucket(parts):
         out = []
         if bucket >= 0:
             bodies = [np.frombuffer(r[2], np.uint32) for r in rows]
-            flags = [np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(x)).astype(bool) for r, x in zip(rows, bodies)]
+            flags = [np.unpackbits(np.frombuffer(r[3], np.uint8).reshape(2, -1), axis=1, count=len(x)).astype(bool) for r, x in zip(rows, bodies)]
+            crowded = np.concatenate([f[1] for f in flags])
             flat = np.concatenate(bodies)
             order = np.argsort(flat, kind="stable")
             ranked = flat[order]
-            same = np.concatenate(([False], ranked[1:] == ranked[:-1], [False]))
-            twice = np.empty(len(flat), bool)
-            twice[order] = same[1:] | same[:-1]
+            starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            times = np.diff(np.append(starts, len(flat)))
+            held, hot = np.empty(len(flat), np.int64), np.empty(len(flat), bool)
+            held[order] = np.repeat(times, times)
+            hot[order] = np.repeat((times >= HOT) | np.logical_or.reduceat(crowded[order], starts), times)
             at = 0
             for r, x, f in zip(rows, bodies, flags):
-                out.append((bucket, r[1], np.packbits(twice[at : at + len(x)] | f).tobytes(), b""))
+                n, h = held[at : at + len(x)], hot[at : at + len(x)]
+                out.append((bucket, r[1], np.packbits((n > 1) | f[0]).tobytes(), np.packbits(h).tobytes() if h.any() else b""))
                 at += len(x)
         else:
             n = [len(r[3]) // 4 for r in rows]
@@ -254,6 +284,54 @@ def _runs(key: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.stack([key[first], start[first], start[last] + LENGTH], axis=1).astype(np.int64)
 
 
+class _Pieces:
+    """Stretches of a bundle's bytes: the windows that an anchor serves."""
+
+    def __init__(self, bundle: _Bundle, doc, first, count, shift, hash):
+        self.bundle, self.doc, self.first, self.count, self.shift, self.hash = bundle, doc, first, count, shift, hash
+
+    def take(self, x: np.ndarray) -> _Pieces:
+        return _Pieces(self.bundle, *(c[x] for c in (self.doc, self.first, self.count, self.shift, self.hash)))
+
+    def windows(self) -> _Pieces:
+        """Each window as a piece of its own."""
+        which = np.repeat(np.arange(len(self.doc)), self.count)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        return _Pieces(self.bundle, self.doc[which], self.first[which] + step, np.ones_like(which), self.shift[which] - step, self.hash[which])
+
+    def texts(self) -> list[bytes]:
+        text = self.bundle.text_bytes
+        return [text[s:e] for s, e in zip(self.first.tolist(), (self.first + self.count + LENGTH - 1).tolist())]
+
+    def local(self) -> np.ndarray:
+        return self.first - self.bundle.offsets[self.doc]
+
+    def first_of_equals(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pieces that no earlier document of the bundle has, and the others' spans."""
+        ids = self.bundle.ids[self.doc]
+        seen: dict[bytes, int] = {}
+        goes = np.zeros(len(ids), bool)
+        texts, own = self.texts(), ids.tolist()
+        for x in np.argsort(ids, kind="stable").tolist():
+            goes[x] = seen.setdefault(texts[x], own[x]) == own[x]
+        gone = ~goes
+        local = self.local()[gone]
+        return np.flatnonzero(goes), np.stack([self.doc[gone], local, local + self.count[gone] + LENGTH - 1], axis=1)
+
+    def by_bucket(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(bucket, kind="stable")
+        for x in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(x):
+                yield int(bucket[x[0]]), x
+
+    def message(self, x: np.ndarray) -> tuple[bytes, bytes]:
+        some = self.take(x)
+        head = np.empty(len(x), _HEAD)
+        for name, c in (("id", self.bundle.ids[some.doc]), ("doc", some.doc), ("local", some.local()), ("count", some.count), ("shift", some.shift)):
+            head[name] = c
+        return b"".join(some.texts()), head.tobytes()
+
+
 def _send_windows(n_buckets: int):
     """Windows around repeated anchors; what is settled within the bundle goes out as spans, bucket below 0."""
 
@@ -261,13 +339,15 @@ def _send_windows(n_buckets: int):
         for part in parts:
             for k, b, (answers,) in _each_bundle(part):
                 b.find()
-                twice = np.zeros(len(b.distinct), bool)
+                twice, hot = np.zeros((2, len(b.distinct)), bool)
                 copy = np.zeros(len(b.ids), bool)
                 bucket = _bucket_of(b.distinct, n_buckets)
                 for a in answers or ():
                     if a["bucket"] >= 0:
                         s, e = np.searchsorted(bucket, [a["bucket"], a["bucket"] + 1])
                         twice[s:e] = np.unpackbits(np.frombuffer(a["body"], np.uint8), count=e - s).astype(bool)
+                        if a["flags"]:
+                            hot[s:e] = np.unpackbits(np.frombuffer(a["flags"], np.uint8), count=e - s).astype(bool)
                     else:
                         copy[np.frombuffer(a["body"], np.uint32)] = True
                 size = np.diff(b.offsets)
@@ -276,30 +356,21 @@ def _send_windows(n_buckets: int):
                 use = np.flatnonzero(twice[b.place] & ~copy[b.doc]) if len(b.doc) else np.zeros(0, np.int64)
                 rows = []
                 if len(use):
-                    first, count, doc = b.first[use], b.count[use], b.doc[use]
-                    ids = b.ids[doc]
-                    # of equal pieces in this bundle only the first document's goes out
-                    text = b.raw.tobytes()
-                    piece = [text[s:e] for s, e in zip(first.tolist(), (first + count + LENGTH - 1).tolist())]
-                    order = np.argsort(ids, kind="stable")
-                    seen: dict[bytes, int] = {}
-                    goes = np.zeros(len(use), bool)
-                    for x in order.tolist():
-                        low = seen.setdefault(piece[x], int(ids[x]))
-                        goes[x] = low == ids[x]
-                    local = first - b.offsets[doc]
-                    gone = np.flatnonzero(~goes)
-                    settled.append(np.stack([doc[gone], local[gone], local[gone] + count[gone] + LENGTH - 1], axis=1))
-                    go = np.flatnonzero(goes)
-                    go = go[np.argsort(b.hash[use[go]], kind="stable")]
-                    to = _bucket_of(b.hash[use[go]], n_buckets)
-                    shift = b.at[use] - first  # the anchor's place in the piece
-                    cut = np.flatnonzero(np.diff(to)) + 1
-                    for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(go)]):
-                        if e > s:
-                            x = go[s:e]
-                            head = np.stack([ids[x], doc[x], local[x], count[x], shift[x]], axis=1).astype(np.int64)
-                            rows.append((int(to[s]), k, b"".join([piece[y] for y in x.tolist()]), head.tobytes()))
+                    pieces = _Pieces(b, b.doc[use], b.first[use], b.count[use], b.at[use] - b.first[use], b.hash[use])
+                    goes, gone = pieces.first_of_equals()
+                    settled.append(gone)
+                    many = hot[b.place[use[goes]]]
+                    calm = pieces.take(goes[~many])
+                    for t, x in calm.by_bucket(_bucket_of(calm.hash, n_buckets)):
+                        rows.append((t, k, *calm.message(x)))
+                    if many.any():
+                        single = pieces.take(goes[many]).windows()
+                        goes, gone = single.first_of_equals()
+                        settled.append(gone)
+                        single = single.take(goes)
+                        own = np.array([xxhash.xxh3_64_intdigest(t) for t in single.texts()], np.uint64)
+                        for t, x in single.by_bucket(_bucket_of(own, n_buckets)):
+                            rows.append((t, k, *single.message(x)))
                 spans = np.concatenate(settled)
                 if len(spans):
                     rows.append((-1 - k % n_buckets, k, spans.astype(np.int64).tobytes(), b""))
@@ -315,21 +386,9 @@ def repeated_windows(blob: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.n
     stretch whose common prefixes reach LENGTH; in it the previous or next smaller
     position exists exactly for those above the run's least rank.
     """
-    wide = np.empty((len(at), 56), np.uint8)
-    wide[:, LENGTH:] = 0
-    wide[:, :LENGTH] = blob[at[:, None] + np.arange(LENGTH)]
-    words = wide.view(">u8").astype(np.uint64)
-    order = np.argsort(words[:, 0], kind="stable")
-    for w in range(1, 7):  # refine runs that are still equal; most are decided by the first word
-        prior = words[order, :w]
-        run = np.cumsum(np.concatenate(([0], (prior[1:] != prior[:-1]).any(axis=1))))
-        size = np.bincount(run)
-        many = np.flatnonzero(size[run] > 1)
-        if not len(many):
-            break
-        sub = order[many]
-        order[many] = sub[np.lexsort((words[sub, w], run[many]))]
-    ranked = words[order]
+    windows = np.lib.stride_tricks.sliding_window_view(blob, LENGTH)[at]
+    order = np.argsort(windows.view(f"S{LENGTH}").ravel())
+    ranked = windows[order]
     starts = np.flatnonzero(np.concatenate(([True], (ranked[1:] != ranked[:-1]).any(axis=1))))
     low = np.minimum.reduceat(rank[order], starts)
     out = np.empty(len(at), bool)
@@ -342,19 +401,25 @@ def _answer_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if bucket < 0:
             yield _rows(rows)
             continue
-        head = np.concatenate([np.frombuffer(r[3], np.int64).reshape(-1, 5) for r in rows])
-        bundle = np.repeat(np.arange(len(rows)), [len(r[3]) // 40 for r in rows])
+        head = np.concatenate([np.frombuffer(r[3], _HEAD) for r in rows])
+        bundle = np.repeat(np.arange(len(rows)), [len(r[3]) // _HEAD.itemsize for r in rows])
         blob = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-        ids, doc, local, count, shift = head.T
+        ids, doc, local, count, shift = (head[c].astype(np.int64) for c in _HEAD.names)
         begin = np.concatenate(([0], np.cumsum(count + LENGTH - 1)[:-1]))
+        # Pieces of one anchor stay together; a batch ends between two anchors.
+        gram = np.lib.stride_tricks.sliding_window_view(blob, 8)[begin + shift].view(np.uint64).ravel()
+        order = np.argsort(gram, kind="stable")
+        edges = np.flatnonzero(np.diff(gram[order])) + 1
+        cuts = np.unique(edges[np.minimum(np.searchsorted(edges, np.arange(PIECES, len(order), PIECES)), len(edges) - 1)]) if len(edges) else []
         found = []
-        for l in range(REACH):  # equal windows have their anchor at one place  # noqa: E741
-            x = np.flatnonzero((shift >= l) & (shift - l < count))
-            if len(x) > 1:
-                step = shift[x] - l
-                hit = repeated_windows(blob, begin[x] + step, ids[x])
-                x, step = x[hit], step[hit]
-                found.append(np.stack([bundle[x], doc[x], local[x] + step], axis=1))
+        for some in np.split(order, cuts):
+            for l in range(REACH):  # equal windows have their anchor at one place  # noqa: E741
+                x = some[(shift[some] >= l) & (shift[some] - l < count[some])]
+                if len(x) > 1:
+                    step = shift[x] - l
+                    hit = repeated_windows(blob, begin[x] + step, ids[x])
+                    x, step = x[hit], step[hit]
+                    found.append(np.stack([bundle[x], doc[x], local[x] + step], axis=1))
         out = []
         if found:
             found = np.concatenate(found)
@@ -410,7 +475,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     bits = meet(cells.mapInArrow(_send_anchors(n), _MESSAGE), _answer_anchors, "anchor-bits")
     free_shuffles(spark)
-    answers = bits.groupBy("bundle").agg(F.collect_list(F.struct("bucket", "body")).alias("answers"))
+    answers = bits.groupBy("bundle").agg(F.collect_list(F.struct("bucket", "body", "flags")).alias("answers"))
     spans = meet(cells.join(answers, "bundle", "left").mapInArrow(_send_windows(n), _MESSAGE), _answer_windows, "spans")
     unstage(bits)
     free_shuffles(spark)

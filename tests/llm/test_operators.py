@@ -243,7 +243,7 @@ def repeats_by_force(rows):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("hot", [2, 32])
+@pytest.mark.parametrize("hot", [2, 256])
 def test_repeats(corpus, odd, docs_of, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     rng = random.Random(9)
