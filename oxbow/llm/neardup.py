@@ -130,17 +130,19 @@ def _verify(threshold: int):
 
 
 def _block_pairs(threshold: int):
-    """Rows (bucket, i, j, node, root, block, band, signature), sorted by bucket, i, j: compares
-    block i with block j.  A pair counts in the first of the bands that it shares only; there
-    its bucket holds both, and none of the two as its smallest member unless that pair is
-    already compared."""
+    """Rows (bucket, i, j, node, root, block, band, signature, earlier), sorted by bucket, i, j:
+    compares block i with block j.  A pair counts in the first of the bands that it shares
+    only; there its bucket holds both, and none of the two as its smallest member unless that
+    pair is already compared.  ``earlier`` has the bucket keys of the bands before ``band``:
+    signatures are low bytes, which agree in bands that are not shared."""
 
     def compare(group: list) -> tuple[list, list]:
         node = np.concatenate([g[0] for g in group])
         root = np.concatenate([g[1] for g in group])
         block = np.concatenate([g[2] for g in group])
         sign = np.concatenate([g[3] for g in group])
-        i, j, band = (int(group[0][k]) for k in (4, 5, 6))
+        earlier = np.concatenate([g[7] for g in group])
+        i, j = (int(group[0][k]) for k in (4, 5))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         k, least = least_matches(threshold / 100, MISS, BATCH)[0]
         out_a, out_b = [], []
@@ -153,10 +155,8 @@ def _block_pairs(threshold: int):
                 if i == j:
                     go &= node[x][:, None] < node[None, y]
                 a, b = np.nonzero(go)
-                if band:
-                    fore = (sign[x, : band * S.ROWS][a] == sign[y, : band * S.ROWS][b]).reshape(len(a), band, S.ROWS)
-                    first = ~fore.all(axis=2).any(axis=1)
-                    a, b = a[first], b[first]
+                first = ~(earlier[x[a]] == earlier[y[b]]).any(axis=1)
+                a, b = a[first], b[first]
                 live = survivors(sign[x[a]], sign[y[b]], threshold / 100)
                 out_a += node[x[a[live]]].tolist()
                 out_b += node[y[b[live]]].tolist()
@@ -173,7 +173,7 @@ def _block_pairs(threshold: int):
             if not part.num_rows:
                 continue
             bucket, i, j, node, root, block, band = (part.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            sign = _matrix(part.column(7))
+            sign, ends, keys = _matrix(part.column(7)), np.cumsum(band), part.column(8).flatten().to_numpy()
             cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)]):
                 key = (bucket[s], i[s], j[s])
@@ -181,7 +181,8 @@ def _block_pairs(threshold: int):
                     yield emit()
                     group = []
                 last = key
-                group.append((node[s:e], root[s:e], block[s:e], sign[s:e], i[s], j[s], band[s]))
+                earlier = keys[ends[s] - band[s] : ends[e - 1]].reshape(e - s, band[s])
+                group.append((node[s:e], root[s:e], block[s:e], sign[s:e], i[s], j[s], band[s], earlier))
         if group:
             yield emit()
 
@@ -246,8 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .select("bucket", "band", "node", "root", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", "band")
-        .join(heads, "node")
-        .select("bucket", "i", "j", "node", "root", "block", "band", "signature")
+        .join(firsts, "node")
+        .select("bucket", "i", "j", "node", "root", "block", "band", "signature", F.slice("bands", F.lit(1), F.col("band")).alias("earlier"))
     )
     more = (
         dealt.repartition("bucket", "i", "j")

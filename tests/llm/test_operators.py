@@ -6,10 +6,12 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from oxbow.llm import contamination, langid, lexicon, linespread, media, neardup, repeats, sharding, surrogates, tokencount
+from oxbow.llm import contamination, langid, lexicon, linespread, media, neardup, repeats, sharding, shingles, surrogates, tokencount
 from oxbow.llm.queries import DEMO_KEY, TOKENIZERS
 
 BPE = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -174,6 +176,44 @@ def test_chains_that_the_smallest_member_does_not_link(spark, docs_of):
     assert len({c for _, c in want.values()}) == 1
 
 
+def test_block_pairs_compares_every_pair_that_shares_a_bucket():
+    """Every bucket as a table of its own: the pairs that come out, once each, are those that
+    share a bucket key and whose signatures are not given up."""
+    rng = np.random.default_rng(3)
+    universe = rng.integers(0, 1 << 62, 200_000, np.uint64)
+    sets = []
+    for k in range(0, 60_000, 300):  # three near copies of one set each
+        own = universe[k : k + 300]
+        sets += [np.unique(np.concatenate([own[: 300 - cut], universe[100_000 + k + c * 20 : 100_000 + k + c * 20 + cut]])) for c, cut in enumerate((0, 20, 40))]
+    sets = sets * 4
+    sets = [np.unique(s * np.uint64(2 * (n // 600) + 1)) for n, s in enumerate(sets)]  # other hashes, other signatures
+    signs, bands = shingles.signatures(sets)
+    shared, masked = set(), 0
+    n = len(sets)
+    for k in range(n):
+        for m in range(k + 1, min(n, k // 3 * 3 + 3)):
+            same = np.flatnonzero(bands[k] == bands[m])
+            if len(same) and len(neardup.survivors(signs[[k]], signs[[m]], 0.75)):
+                shared.add((k, m))
+                low = (signs[k, :128] == signs[m, :128]).reshape(32, 4).all(axis=1)
+                masked += low[: same[0]].any()
+    assert masked > 0  # some have an earlier band with equal low bytes and different keys
+    got = []
+    for band in range(shingles.BANDS):
+        order = np.argsort(bands[:, band], kind="stable")
+        key = bands[order, band]
+        zeros = pa.array(np.zeros(n, np.int32))
+        part = pa.RecordBatch.from_arrays(
+            [pa.array(key), zeros, zeros, pa.array(order), pa.array(order), zeros, pa.array(np.full(n, band, np.int32)),
+             pa.array([signs[k].tobytes() for k in order], pa.binary()), pa.array([bands[k, :band].tolist() for k in order], pa.list_(pa.int64()))],
+            names=["bucket", "i", "j", "node", "root", "block", "band", "signature", "earlier"],
+        )
+        for cut in (part.slice(0, n // 2), part.slice(n // 2)), :
+            for out in neardup._block_pairs(75)(iter(cut)):
+                got += zip(out.column(0).to_pylist(), out.column(1).to_pylist())
+    assert len(got) == len(set(got)) and set(got) >= shared
+
+
 def test_pruning_bounds_keep_pairs_at_the_threshold():
     bounds = neardup.least_matches(0.75, 1e-5, 64)
     assert [k for k, _ in bounds] == list(range(64, 769, 64))
