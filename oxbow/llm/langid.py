@@ -13,14 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oxbow.llm.common import slices, stage, text_buffer
 
-#: Labelled rows that the text model is fitted on, about, and their longest text in bytes.
+#: Labelled texts that the text model is fitted on, in equal parts by label, and their longest
+#: in bytes; a label has at least so many, however many labels there are.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 200_000
+LABEL_ROWS = 50
 GRAM, SLOTS = 4, 1 << 16
 #: n-grams overlap; this scales their joint evidence to that of independent ones.
 TEMPER = 1 / GRAM
@@ -68,19 +70,31 @@ class TextModel:
         return out * TEMPER
 
 
+def label_sample(labelled: DataFrame, text_col: str, lang_col: str, sample_rows: int) -> tuple[list[str], DataFrame]:
+    """All labels, sorted, and (lang, text) of at most max(LABEL_ROWS, sample_rows / labels)
+    distinct texts of each: those with the least hashes.  Of longer texts, the beginning.
+    """
+    rows = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].alias("lang")).where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
+    hashed = stage(rows.select("lang", "h").distinct(), "label-hashes")
+    sizes = {r["lang"]: r["count"] for r in hashed.groupBy("lang").count().collect()}  # a row for each label
+    most = max(LABEL_ROWS, sample_rows // max(1, len(sizes)))
+    # Hashes are spread evenly: twice as many as are wanted lie below the bound, and are ranked.
+    bounds = [(lang, min((1 << 63) - 1, (2 * most << 64) // n - (1 << 63))) for lang, n in sizes.items()]
+    low = hashed.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("h <= bound")
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = stage(ranked.where(F.col("rank") <= most).select("lang", "h"), "label-sample")
+    short = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES // 4))
+    found = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first(short).alias("text"))
+    return sorted(sizes), found.select("lang", "text")
+
+
 def fit_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Fit on about ``sample_rows`` labelled rows, taken by a hash of the text; rows
-    without a text or label, and texts over SAMPLE_BYTES, are no part of the sample."""
-    rows = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].alias("lang"))
-    step = max(1, rows.count() // sample_rows)
-    sample = (
-        rows.where("text is not null and lang is not null")
-        .where((F.octet_length("text") <= SAMPLE_BYTES) & (F.pmod(F.xxhash64("text"), F.lit(step)) == 0))
-        .limit(2 * sample_rows)
-        .toArrow()
-    )
+    """Fit on the ``label_sample`` of the rows that have a text and a label; every label
+    among them is a language of the model."""
+    langs, texts = label_sample(labelled, text_col, lang_col, sample_rows)
+    sample = texts.toArrow()
     names = sample.column("lang").to_pylist()
-    langs = sorted(set(names)) or [UNKNOWN + "-none"]
+    langs = langs or [UNKNOWN + "-none"]
     counts = np.full((len(langs), SLOTS), 0.02)
     for text, lang in zip(sample.column("text").to_pylist(), names):
         raw = np.frombuffer(text.encode(), np.uint8)

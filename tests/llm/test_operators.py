@@ -113,6 +113,23 @@ def test_declaration_and_host_decide_where_text_cannot(spark):
     assert got[104]["lang"] == "und" and not got[104]["kept"]
 
 
+def test_rare_labels_are_languages_whatever_the_size_of_the_table(spark):
+    en, el = "the black cat sleeps in the house and number {} runs", "η μαύρη γάτα κοιμάται μέσα στο σπίτι και η {} τρέχει"
+    rows = [(en.format(k % 400 if k < 3000 else 0), "en") for k in range(6000)] + [(en.format(k), None) for k in range(6000)]  # half are one text
+    rows += [(el.format(k), "el") for k in range(3)] + [("это длинный текст на другом языке " * 4000, "ru")]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    langs, sample = langid.label_sample(table, "text", "lang", 200)
+    got = sample.collect()
+    assert langs == ["el", "en", "ru"] and len(set(got)) == len(got)
+    assert [sum(r["lang"] == x for r in got) for x in langs] == [3, 66, 1]
+    least = sorted((r["h"], r["text"]) for r in table.where("lang = 'en'").select("text", F.xxhash64("text").alias("h")).distinct().collect())[:66]
+    assert {t for _, t in least} == {r["text"] for r in got if r["lang"] == "en"}
+    model = langid.fit_text_model(table, sample_rows=200)
+    new = spark.createDataFrame([(1, el.format("άσπρη"))], "id long, text string").selectExpr("id", "text", *[f"cast(null as string) as {c}" for c in ("declared", "host", "suffix")])
+    told = langid.identify(new, model, ("id",)).first()
+    assert told["lang"] == "el" and told["kept"]
+
+
 def test_evidence_of_pages(spark):
     html = '<!DOCTYPE html><HTML class="x" lang=\'de-AT\'><script>var a = "</p>";</script><p>Guten <b>Tag</b><!-- x --></p>'
     pages = spark.createDataFrame([(1, "https://user@Shop.Example.de:8080/x?y", html), (2, None, None), (3, "bad", "")], "page_id long, url string, html string")
