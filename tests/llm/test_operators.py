@@ -1,6 +1,7 @@
 """Each operator against brute force, and on empty and odd tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -300,15 +301,27 @@ def repeats_by_force(rows):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("hot", [2, 256])
-def test_repeats(corpus, odd, docs_of, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("division", [{}, {"bundle_least": 2000, "block_bytes": 3000}, {"bundle_least": 500, "block_bytes": 20_000, "crowd": 2}])
+def test_repeats(corpus, odd, docs_of, division):
     rng = random.Random(9)
     small = [("ab" * 40)[: rng.randint(40, 80)] for _ in range(20)] + ["x" * k for k in (49, 50, 51, 120)] + [prose(rng, 30)[k : k + 90] for k in range(0, 60, 7)]
     periodic = docs_of([(rng.randrange(1000), t, "en", "s", 0) for t in small + small])
-    for table in (corpus, odd, periodic):
+    licence = prose(rng, 25)
+    common = docs_of([(rng.randrange(300), prose(rng, rng.randint(0, 8)) + licence[rng.randint(0, 9) :] + prose(rng, rng.randint(0, 8)), "en", "s", 0) for _ in range(300)])
+    for table in (corpus, odd, periodic, common):
         rows = table.select("doc_id", "text").collect()
-        assert sorted(str(tuple(r)) for r in repeats.remove_repeats(table).collect()) == repeats_by_force(rows)
+        assert sorted(str(tuple(r)) for r in repeats.remove_repeats(table, **division).collect()) == repeats_by_force(rows)
+
+
+def test_longest_previous_factors():
+    rng = random.Random(3)
+    for _ in range(40):
+        texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 9))]
+        suffixes = sorted((t[k:], d, k) for d, t in enumerate(texts) for k in range(len(t)))
+        both = [len(os.path.commonprefix([a[0], b[0]])) for a, b in zip(suffixes, suffixes[1:])]
+        want = [max([len(os.path.commonprefix([s, t[j:]])) for t in texts[:d] for j in range(len(t))], default=0) for s, d, _ in suffixes]
+        got = repeats.longest_previous(np.array([d for _, d, _ in suffixes], np.int64), np.array([0, *both][: len(suffixes)], np.int32))
+        assert got.tolist() == want
 
 
 def test_kept_bytes(docs_of):
