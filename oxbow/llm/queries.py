@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from oxbow.llm import contamination, linespread
 
-TOKENIZERS = os.environ.get("OXBOW_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file's place: in the folder OXBOW_TOKENIZERS, or where the library of public tokenizers has it."""
+    folder = os.environ.get("OXBOW_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from oxbow.llm.tokencount import count_tokens
 
-    return count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +61,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from oxbow.llm.lexicon import build_lexicon, encode_decode
 
-    docs, tokenizer = _table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"
+    docs, tokenizer = _table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")
     return encode_decode(docs, tokenizer, build_lexicon(docs, tokenizer))
 
 

@@ -13,10 +13,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from oxbow.llm import contamination, langid, lexicon, linespread, media, neardup, repeats, sharding, shingles, surrogates, tokencount
-from oxbow.llm.queries import DEMO_KEY, TOKENIZERS
+from oxbow.llm.queries import DEMO_KEY, tokenizer_file
 
-BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+BPE = tokenizer_file("word_bpe_49k.json")
+PIECES = tokenizer_file("piece_bpe_32k.model")
 
 
 def prose(rng, n):
@@ -384,6 +384,20 @@ def test_bpe_equals_the_library(corpus, odd):
         assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want))
 
 
+def test_merges_equal_the_library():
+    from tokenizers import Tokenizer
+
+    t, pairs = Tokenizer.from_file(BPE), lexicon.WordPairs(BPE)
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeinorst", k=rng.randint(1, 60))) for _ in range(2000)] + ["aaaa" * k for k in range(1, 40)]
+    words.append("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)))
+    want = [t.encode(w, add_special_tokens=False).ids for w in words]
+    assert pairs.merge_many(words) == want
+    assert [pairs.merge(w) for w in words] == want
+    for text in ("a<|startoftext|>b <|endoftext|>", "".join(map(chr, range(1, 0x300))), "İ ª µ º ǅ x\x85y\xa0z\x1cq K Å ſt", "\ua7cb \U00010d50\U00016eb8"):
+        assert [i for ids in pairs.merge_many(pairs.words(text)) for i in ids] == t.encode(text, add_special_tokens=False).ids
+
+
 def test_transducer_holds_exactly_its_words(tmp_path):
     rng = random.Random(2)
     entries = {"".join(rng.choices("abc", k=rng.randint(1, 7))).encode(): [rng.randrange(1000) for _ in range(rng.randint(0, 4))] for _ in range(300)}
