@@ -11,7 +11,7 @@ from oxbow.llm.langid import keep_identified
 from oxbow.llm.lexicon import build_lexicon, encode_decode
 from oxbow.llm.linespread import remove_boilerplate
 from oxbow.llm.neardup import near_duplicates
-from oxbow.llm.queries import TOKENIZERS
+from oxbow.llm.queries import tokenizer_file
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of each document."""
-    tokenizer = f"{TOKENIZERS}/word_bpe_49k.json"
+    tokenizer = tokenizer_file("word_bpe_49k.json")
     return encode_decode(docs, tokenizer, build_lexicon(docs, tokenizer), arrays=True).drop("decoded")
 
 
