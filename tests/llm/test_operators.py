@@ -241,23 +241,42 @@ def test_pruning_bounds_keep_pairs_at_the_threshold():
 # ---- 4 ----
 
 
-def spread_by_force(rows, min_sites, min_chars, share=0.5):
-    sites = defaultdict(set)
-    for r in rows:
-        for line in (r["text"] or "").split("\n") if r["text"] is not None else []:
-            if len(line.strip(" ")) >= min_chars:
-                sites[line.strip(" ")].add(r["source"] or "")
+def spread_by_force(rows, min_sites, min_chars):
+    def key(line):
+        return line.strip(" ") if len(line.strip(" ")) >= min_chars else None
+
+    def spread(lines, texts):
+        sites = defaultdict(set)
+        for r in texts:
+            for line in r["text"].split("\n"):
+                if key(line) in lines or (lines is ALL and key(line)):
+                    sites[key(line)].add(r["source"] or "")
+        return {k for k, v in sites.items() if len(v) >= min_sites}
+
+    ALL = frozenset()
+    texts = [r for r in rows if r["text"] is not None]
+    candidates = spread(ALL, texts)
+    size = lambda t: sum(len(x.encode()) for x in t.split("\n") if key(x) in candidates)
+    found = spread(candidates, [r for r in texts if 2 * size(r["text"]) <= len(r["text"].encode())]) if candidates else set()
     out = []
     for r in rows:
-        text = r["text"]
-        lines = [] if text is None else text.split("\n")
-        kept = [x for x in lines if not (len(x.strip(" ")) >= min_chars and len(sites[x.strip(" ")]) >= min_sites)]
-        new = "\n".join(kept)
-        cut = len(kept) < len(lines) and len(text.encode()) - len(new.encode()) <= share * len(text.encode())
-        out.append((r["doc_id"], new if cut else text, len(lines), len(lines) - len(kept) if cut else 0))
+        lines = [] if r["text"] is None else r["text"].split("\n")
+        kept = [x for x in lines if key(x) is None or key(x) not in found]
+        out.append((r["doc_id"], None if r["text"] is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
 
 
+def test_pages_of_mostly_boilerplate_are_cut_and_copies_are_not(docs_of):
+    rng = random.Random(1)
+    footer, article = prose(rng, 6), "\n".join(prose(rng, 9) for _ in range(5))
+    rows = [(k, f"{prose(rng, 30)}\n{footer}", "en", f"s{k % 15}", 0) for k in range(60)]
+    rows += [(100 + k, f"{footer}\nown {k}", "en", f"s{k}", 0) for k in range(5)] + [(200 + k, article, "en", f"s{k % 20}", 0) for k in range(50)]
+    got = {r["doc_id"]: r["text"] for r in linespread.remove_boilerplate(docs_of(rows)).collect()}
+    assert all("\n" not in got[k] for k in range(60))
+    assert [got[100 + k] for k in range(5)] == [f"own {k}" for k in range(5)]
+    assert {got[200 + k] for k in range(50)} == {article}
+
+
 @pytest.mark.parametrize("min_sites", [3, 12, 40])
 def test_line_spread(spark, docs_of, odd, min_sites):
     rng = random.Random(min_sites)
@@ -267,7 +286,8 @@ def test_line_spread(spark, docs_of, odd, min_sites):
         lines = [prose(rng, 8) for _ in range(4)] + [s for j, s in enumerate(shared) if rng.random() < 0.02 * (j + 1)]
         rng.shuffle(lines)
         rows.append((k, "\n".join(lines), "en", f"site{rng.randrange(60)}", 0))
-    rows.append((400, f"{shared[11]}\n{shared[11]}", "en", "site1", 0))  # nothing but boilerplate: left alone
+    rows.append((400, f"{shared[11]}\n{shared[11]}", "en", "site1", 0))  # nothing but boilerplate
+    rows += [(500 + k, "\n".join(shared[:4]) + "\nand the rest", "en", f"site{k}", 0) for k in range(45)]  # copies
     for table in (docs_of(rows), odd):
         got = linespread.remove_boilerplate(table, min_sites=min_sites)
         assert got.columns[: len(table.columns)] == table.columns
@@ -394,7 +414,7 @@ def test_merges_equal_the_library():
     want = [t.encode(w, add_special_tokens=False).ids for w in words]
     assert pairs.merge_many(words) == want
     assert [pairs.merge(w) for w in words] == want
-    for text in ("a<|startoftext|>b <|endoftext|>", "".join(map(chr, range(1, 0x300))), "İ ª µ º ǅ x\x85y\xa0z\x1cq K Å ſt", "\ua7cb \U00010d50\U00016eb8"):
+    for text in ("a<|startoftext|>b <|endoftext|>", "".join(map(chr, range(1, 0x300))), "İ ª µ º ǅ x\x85y\xa0z\x1cq K Å ſt", "\ua7cb \U00010d50 \U00016eb8"):
         assert [i for ids in pairs.merge_many(pairs.words(text)) for i in ids] == t.encode(text, add_special_tokens=False).ids
 
 
