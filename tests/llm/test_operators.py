@@ -519,6 +519,97 @@ def test_surrogates(spark, docs_of, odd):
     assert out.count() == odd.count() and out.columns[:-1] == odd.columns
 
 
+def mentions_by_force(text):
+    """(kind, mention) pairs, and the text between them, by each pattern at each place in order."""
+    import regex
+
+    patterns = {k: regex.compile(p, regex.V0 | regex.ASCII if k not in ("name",) else regex.V0) for k, p in surrogates.PATTERNS.items()}
+    found, between, at, last = [], [], 0, 0
+    if not regex.search(r"[0-9@.+]|[A-Fa-f]{32}|\p{Lu}", text):  # no pattern does without
+        return [], [text]
+    while at < len(text):
+        hit = next(((k, m) for k, p in patterns.items() if (m := p.match(text, at))), None)
+        if hit is None:
+            at += 1
+            continue
+        found.append((hit[0], hit[1][0]))
+        between.append(text[last:at])
+        at = last = hit[1].end()
+    return found, [*between, text[last:]]
+
+
+def entity_of(kind, mention):
+    if kind in ("ip", "email"):
+        return mention.lower()
+    return mention.split(" ", 1)[1].lower() if kind == "name" else "".join(c for c in mention if c.isalnum()).lower()
+
+
+def luhn(digits):
+    return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_surrogates_by_force(docs_of, odd, corpus):
+    """Every mention that plain matching finds is replaced, nothing else is; entities corefer and stay distinct."""
+    more = [
+        "IBAN AB12CDEFGHIJKLMN only", "Dr Παπαδόπουλος", "Mr Վարդանյան here", "hex " + "abcdefab" * 4, "card 4111 1111 1111 1111", "IBAN GB82 WEST 1234 5698 7654 32", "", None,
+        *[f"write to {x}@{y}.co or call +49 30 {k}{k} {k}001" for k, (x, y) in enumerate(zip("abcdefgh", "qrstuvwx"), 10)],
+    ]
+    for table in (docs_of([(k, t, "en", "s", 0) for k, t in enumerate([*PRIVATE, *more])]), odd, corpus):
+        key = lambda r: (str(r["doc_id"]), r["source"] or "", r["text"] is None, "")
+        before = sorted(table.collect(), key=key)
+        after = sorted(surrogates.replace_personal_data(table, DEMO_KEY).collect(), key=key)
+        new = {}
+        for r, s in zip(before, after):
+            if r["text"] is None:
+                assert s["text"] is None and s["n_entities"] == 0
+                continue
+            found, between = mentions_by_force(r["text"])
+            assert s["n_entities"] == len(found)
+            if not found:
+                assert s["text"] == r["text"]
+                continue
+            whole = re.fullmatch("(.+?)".join(map(re.escape, between)), s["text"], re.S)
+            assert whole
+            for (kind, mention), said in zip(found, whole.groups()):
+                entity, other = entity_of(kind, mention), entity_of(kind, said)
+                assert new.setdefault((kind, entity), other) == other != entity
+                shape = [re.sub(r"\d", "0", re.sub(r"[^\W\d_]", "a", x)) for x in (mention, said)]
+                assert kind in ("name", "secret", "ip") or shape[1] == shape[0]
+                if kind == "card":
+                    assert luhn(re.sub(r"\D", "", said))
+                if kind == "iban":
+                    plain = said.replace(" ", "")
+                    assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+        assert len(set(new.items())) == len({(k, v) for (k, _), v in new.items()})
+        assert not {(k, v) for (k, _), v in new.items()} & set(new)
+
+
+def test_surrogates_keep_the_script(docs_of):
+    rows = [(1, "Dr Παπαδόπουλος", "el", "s", 0), (2, "Mr Վարդանյան", "hy", "s", 0)]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_personal_data(docs_of(rows), DEMO_KEY).collect()}
+    assert re.fullmatch("Dr [Α-Ω][α-ωά-ώ]+", got[1]) and re.fullmatch("Mr [Ա-Ֆ][ա-ֆ]+", got[2])
+
+
+def test_short_forms_never_run_out(spark):
+    rows = [(f"{a}@{b}.co",) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = surrogates.surrogate_table(spark.createDataFrame(rows, "mention string"), DEMO_KEY).collect()
+    assert len(got) == 676 == len({r["replacement"] for r in got}) and not {r["replacement"] for r in got} & {m for (m,) in rows}
+    assert all(re.fullmatch(r"[a-z]{2,}@[a-z]\.co", r["replacement"]) for r in got)
+
+
+def test_the_key_is_not_in_the_plan(docs_of, capsys):
+    key = "a-secret-key-of-mine"
+    surrogates.replace_personal_data(docs_of([(1, "a@b.co", "en", "s", 0)]), key).explain("extended")
+    mentions = docs_of([(1, "a@b.co", "en", "s", 0)]).select(F.col("text").alias("mention"))
+    surrogates.surrogate_table(mentions, key).explain("extended")
+    assert key not in capsys.readouterr().out
+    import hmac
+
+    inner, outer = surrogates._pads(key)
+    row = mentions.select(F.lit(bytearray(inner)).alias("inner"), F.lit(bytearray(outer)).alias("outer"), surrogates._stream(F.lit("m")).alias("x")).first()
+    assert row["x"][:64] == hmac.new(key.encode(), b"m|0", "sha256").hexdigest()
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(f"Mr {a}{b}",) for a in "ABCDEFGH" for b in ("adler", "becker", "conrad", "dorn", "engel", "falk")] + [(f"{k}.{k}.0.1",) for k in range(256)] + [(f"{k:03d}-11-2222",) for k in range(900)]
     got = surrogates.surrogate_table(spark.createDataFrame(rows, "mention string"), DEMO_KEY).collect()
