@@ -1,7 +1,8 @@
 """Near-duplicate groups: banded MinHash candidates, sequential Bayesian pruning,
 exact verification on full shingle sets.
 
-1. Documents with equal shingle sets are one class, named by its smallest id.
+1. Documents with equal shingle sets are one class, named by its smallest id; where
+   several classes have that id, by a hash of the id and the text instead.
 2. Class representatives meet in the buckets of banded signatures.  Each bucket's
    members are paired with its smallest member only.
 3. A pair's signatures are compared batch by batch; it is dropped as soon as the
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oxbow.llm import shingles as S
@@ -78,17 +79,18 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).slice(i, j - i),
+                        part.column(2).slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
                         pa.array([r.tobytes() for r in signs], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * S.BANDS, pa.int32()), pa.array(bands.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "key_a", "key_b", "signature", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "key_a", "key_b", "signature", "bands"],
                 )
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, signature binary, bands array<long>")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key_a long, key_b long, signature binary, bands array<long>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -190,20 +192,27 @@ def _block_pairs(threshold: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+    """doc_id, n_shingles, component_id, kept, class_id, text_hash for every row.
 
     Words are runs of anything but space, tab, line feed, vertical tab, form feed and
     carriage return, with A-Z lower-cased; a document's set holds its distinct runs of
     five words, or its whole sequence if shorter.  Null, empty and blank texts have an
-    empty set, linked with nothing.  Repeated rows fall into one class.  Rows without
-    an id get their class's id and are kept only if no row of it has one.
+    empty set, linked with nothing, and no class_id.  Repeated rows fall into one class.
+    Rows of one id with different texts are linked by their texts only: component_id may
+    then be one id for several components, which class_id tells apart.  Rows without
+    an id get their class's id and are kept only if no row of it has one.  A very long
+    text is one task's work.  An empty table gives an empty table; other columns may have
+    any name.
     """
     spark = docs.sparkSession
     sketch = stage(_sketch(docs, id_col, text_col), "sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = stage(full.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    named = classes.select(F.col("node").alias("doc_id"))
-    firsts = stage(full.join(named, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "signature", "bands").dropDuplicates(["node"]), "heads")
+    same = ["key_a", "key_b", "n_shingles"]
+    each = full.groupBy(*same).agg(F.min(F.struct("doc_id", "text_hash")).alias("low")).select(*same, "low.*")
+    shared = F.count("*").over(Window.partitionBy("doc_id")) > 1
+    classes = stage(each.withColumn("node", F.when(shared, -F.abs(F.xxhash64("doc_id", "text_hash"))).otherwise(F.col("doc_id"))), "classes")
+    places = classes.select("node", F.col("doc_id").alias("low"), F.xxhash64("doc_id", "text_hash").alias("place"))
+    firsts = stage(full.join(classes, [*same, "doc_id", "text_hash"]).select("node", "signature", "bands").dropDuplicates(["node"]), "heads")
     heads = firsts.select("node", "signature")
     bands = stage(firsts.select("node", F.posexplode("bands").alias("band", "bucket")), "bands")
     buckets = stage(bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -211,13 +220,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unstage(bands)
     free_shuffles(spark)
     stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    texts = docs.select(docs[id_col].cast("long").alias("node"), docs[text_col].alias("text")).where("node is not null")
+    texts = docs.select(docs[id_col].cast("long").alias("low"), docs[text_col].alias("text")).where("low is not null").withColumn("place", F.xxhash64("low", F.xxhash64("text")))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Those of ``pairs`` that reach the threshold on their full sets."""
         pairs = stage(pairs, f"{name}-pruned")
-        ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-ids")
-        some = stage(sift(texts, ids, "node")[0].join(ids, "node", "left_semi").dropDuplicates(["node"]), f"{name}-texts")
+        ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(places, "node"), f"{name}-ids")
+        some = stage(sift(texts, ids, "place")[0].join(ids, ["place", "low"]).select("node", "text").dropDuplicates(["node"]), f"{name}-texts")
         wide = pairs.join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
             some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
         )
@@ -260,10 +269,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     extra = linked(more, "rest")
     if not extra.isEmpty():
         roots = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(extra)), "roots")
-    named = classes.join(roots, "node", "left").select("key_a", "key_b", "n_shingles", F.coalesce("root", "node").alias("component"))
+    rooted = classes.join(roots, "node", "left").select(*same, "doc_id", F.coalesce("root", "node").alias("class_id"))
+    if classes.where("node < 0 and node <> doc_id").isEmpty():  # a root is then its component's smallest id
+        named = rooted.select(*same, "class_id", F.col("class_id").alias("component"))
+    else:
+        named = rooted.join(rooted.groupBy("class_id").agg(F.min("doc_id").alias("component")), "class_id").select(*same, "class_id", "component")
     return (
         sketch.drop("signature")
-        .join(named, ["key_a", "key_b", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .join(named, same, "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "class_id", "text_hash")
+        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id", "text_hash")
     )
