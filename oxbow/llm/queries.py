@@ -41,7 +41,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from oxbow.llm.neardup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +82,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from oxbow.llm.sharding import shuffle_into_shards
+    from oxbow.llm.sharding import sharded
 
-    out = shuffle_into_shards(_table(spark, sf_dir, "documents"))
+    out = sharded(_table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

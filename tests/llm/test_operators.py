@@ -238,6 +238,18 @@ def test_pruning_bounds_keep_pairs_at_the_threshold():
     assert all(m < 0.75 * k for k, m in bounds) and bounds[-1][1] > 0.66 * 768
 
 
+def test_one_id_with_two_texts(docs_of):
+    rng = random.Random(8)
+    a, b, c = prose(rng, 40), prose(rng, 40), prose(rng, 40)
+    rows = [(5, a, "en", "s", 0), (5, b, "en", "s", 0), (7, a, "en", "s", 0), (8, b, "en", "s", 0), (9, b + " end", "en", "s", 0), (5, c, "en", "s", 0), (5, c + " end", "en", "s", 0)]
+    got = neardup.near_duplicates(docs_of(rows)).collect()
+    classes = defaultdict(list)
+    for r in got:
+        classes[r["class_id"]].append(r["doc_id"])
+        assert r["component_id"] == 5 and r["kept"] == (r["doc_id"] == 5)
+    assert sorted(map(sorted, classes.values())) == [[5, 5], [5, 7], [5, 8, 9]]
+
+
 # ---- 4 ----
 
 
@@ -523,18 +535,12 @@ def mentions_by_force(text):
     """(kind, mention) pairs, and the text between them, by each pattern at each place in order."""
     import regex
 
-    patterns = {k: regex.compile(p, regex.V0 | regex.ASCII if k not in ("name",) else regex.V0) for k, p in surrogates.PATTERNS.items()}
-    found, between, at, last = [], [], 0, 0
-    if not regex.search(r"[0-9@.+]|[A-Fa-f]{32}|\p{Lu}", text):  # no pattern does without
-        return [], [text]
-    while at < len(text):
-        hit = next(((k, m) for k, p in patterns.items() if (m := p.match(text, at))), None)
-        if hit is None:
-            at += 1
-            continue
-        found.append((hit[0], hit[1][0]))
-        between.append(text[last:at])
-        at = last = hit[1].end()
+    plain = "|".join(f"(?P<{k}>{p if k == 'name' else '(?a:' + p + ')'})" for k, p in surrogates.PATTERNS.items())
+    found, between, last = [], [], 0
+    for m in regex.finditer(plain, text):
+        found.append((m.lastgroup, m[0]))
+        between.append(text[last : m.start()])
+        last = m.end()
     return found, [*between, text[last:]]
 
 
@@ -625,7 +631,7 @@ def test_surrogates_stay_distinct(spark):
 def test_shards(spark, corpus, odd, bucket):
     for table in (corpus, odd):
         n = table.count()
-        got = sharding.shuffle_into_shards(table, bucket_bytes=bucket).collect()
+        got = sharding.sharded(table, bucket_bytes=bucket).collect()
         assert len(got) == n
         want = sorted(str((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()))) for r in table.collect())
         assert sorted(str((r["doc_id"], r["size"], r["text_crc32"])) for r in got) == want
@@ -642,6 +648,8 @@ def test_written_shards(spark, corpus, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(str, back.select(corpus.columns).collect())) == sorted(map(str, corpus.collect()))
     assert back.select("_shard").distinct().count() == 3
+    again = sharding.shuffle_into_shards(corpus, 3, payload=("doc_id", "text")).select("record.doc_id", "record.text", "shard", "slot")
+    assert sorted(map(str, again.collect())) == sorted(map(str, back.select("doc_id", "text", F.col("_shard").alias("shard"), F.col("_slot").alias("slot")).collect()))
 
 
 # ---- all ----
@@ -660,4 +668,5 @@ def test_empty_tables(spark, docs_of):
     assert lexicon.encode_decode(empty, BPE, lexicon.build_lexicon(empty, BPE)).count() == 0
     assert media.media_column(empty).count() == 0
     assert surrogates.replace_personal_data(empty, "k").count() == 0
+    assert sharding.sharded(empty).count() == 0
     assert sharding.shuffle_into_shards(empty).count() == 0
