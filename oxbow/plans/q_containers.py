@@ -43,6 +43,19 @@ for _coder in ("Copy", "Deflate"):
     query(f"sevenz_{_coder.lower()}_listing", _LISTING)(_round_trip("7z", coder=_coder))
 
 
+def _sealed_trip(container: str, **options):
+    def run(spark, d):
+        blobs = packers.pack_documents(table(spark, d, "documents"), container, password="open sesame", **options)
+        return containers.read_entries(open_blobs(blobs), password="open sesame").select("path", "size", "sha256")
+
+    return run
+
+
+query("zip_aes_listing", _LISTING)(_sealed_trip("zip"))
+query("zip_aes128_stored_listing", _LISTING)(_sealed_trip("zip", method="stored", strength=1))
+query("sevenz_aes_listing", _LISTING)(_sealed_trip("7z"))
+
+
 @query("entry_prune", "SELECT source || '/' || doc_id || '.txt' AS path, sha256(text) AS sha256 FROM documents WHERE doc_id % 10 = 7 AND octet_length(encode(text)) > 1000")
 def entry_prune(spark, d):
     """Only the wanted entries of ZIP archives are decoded."""

@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from oxbow.functions.names import FORMATS
 from oxbow.sources.codecs import DECODERS, StreamError
-from oxbow.sources.containers import PARSERS, ArchiveError, Member
+from oxbow.sources.containers import PARSERS, ArchiveError, Member, members
 
 _SCHEMA = "source_id string, container string, entry_idx long, path string, type string, size long, method string, sha256 string, content binary, error string"
 
@@ -58,7 +58,7 @@ class EntriesReader(DataSourceReader):
                 kind = detect("", data[:300])
             if kind not in PARSERS:
                 raise ArchiveError("no decoder")
-            for k, m in enumerate(PARSERS[kind](data)):
+            for k, m in enumerate(members(kind, data)):
                 yield self._row(partition.path, kind, k, m)
         except (ArchiveError, StreamError) as e:
             yield self._row(partition.path, kind, -1, Member("", "error", error=str(e)))

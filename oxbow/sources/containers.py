@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oxbow.functions import aes, hashing
 from oxbow.sources import codecs
 
 
@@ -62,6 +63,12 @@ def _tar_text(raw: bytes) -> str:
         raise ArchiveError("name is not UTF-8") from e
 
 
+def _decimal(text: str) -> int:
+    if not text.isascii() or not text.isdigit() or len(text) > 18:
+        raise ArchiveError("malformed number")
+    return int(text)
+
+
 def pax_records(body: bytes) -> dict[str, str]:
     out, at = {}, 0
     while at < len(body):
@@ -103,7 +110,7 @@ def tar_members(data: bytes) -> Iterator[Member]:
             raise ArchiveError("bad magic")
         size, kind = tar_number(head[124:136]), head[156:157]
         if "size" in pax and kind in (b"0", b"\0", b"7"):
-            size = int(pax["size"])
+            size = _decimal(pax["size"])
         body = data[at : at + size]
         if len(body) < size:
             raise ArchiveError("unexpected end")
@@ -134,8 +141,23 @@ def tar_members(data: bytes) -> Iterator[Member]:
 # ---- ZIP ----
 
 
-def zip_directory(data: bytes) -> list[tuple[Member, int, int]]:
-    """(member, header offset, flags) of the central directory, in offset order."""
+_ZIP_METHODS = {0: "stored", 8: "deflate", 93: "zstd"}
+
+
+def _aes_extra(extra: bytes) -> tuple[int, int, int] | None:
+    """(version, strength, method) of the extra field that an AES entry has."""
+    at = 0
+    while at + 4 <= len(extra):
+        kind, n = struct.unpack_from("<HH", extra, at)
+        if kind == 0x9901 and n >= 7 and at + 11 <= len(extra):
+            version, _, strength, method = struct.unpack_from("<HHBH", extra, at + 4)
+            return version, strength, method
+        at += 4 + n
+    return None
+
+
+def zip_directory(data: bytes) -> list[tuple[Member, int, int, tuple | None]]:
+    """(member, header offset, flags, AES parameters) of the central directory, in offset order."""
     for at in range(len(data) - 22, max(-1, len(data) - 22 - 0xFFFF - 1), -1):
         if data[at : at + 4] == b"PK\x05\x06" and struct.unpack_from("<H", data, at + 20)[0] == len(data) - at - 22:
             break
@@ -158,39 +180,55 @@ def zip_directory(data: bytes) -> list[tuple[Member, int, int]]:
         if disk:
             raise ArchiveError("spanned archives are not supported")
         name = data[k + 46 : k + 46 + n].decode("utf-8" if flags & 0x800 else "cp437")
-        label = {0: "stored", 8: "deflate", 93: "zstd"}.get(method, str(method))
+        sealed = _aes_extra(data[k + 46 + n : k + 46 + n + extra]) if method == 99 else None
+        method = sealed[2] if sealed else method
+        label = _ZIP_METHODS.get(method, str(method))
         m = Member(name, "dir" if name.endswith("/") else "file", size_, packed, label, crc)
-        if flags & 0x41:
-            m.error = "encrypted"
+        if flags & 0x40:
+            m.error = "strong encryption is not supported"
         elif label.isdigit():
             m.error = f"unsupported method {method}"
-        out.append((m, offset, flags))
+        out.append((m, offset, flags, sealed))
         k += 46 + n + extra + comment
     return sorted(out, key=lambda x: x[1])
 
 
-def zip_members(data: bytes) -> Iterator[Member]:
-    for m, offset, flags in zip_directory(data):
+def _unsealed(raw: bytes, m: Member, flags: int, time: int, sealed: tuple | None, password: str | None) -> bytes:
+    if password is None:
+        raise ArchiveError("encrypted")
+    if sealed:
+        return aes.zip_aes_decrypt(raw, password.encode(), sealed[1])
+    # the last byte of the header repeats the checksum's top byte, or the time's where sizes follow the data
+    return hashing.zipcrypto(raw, password.encode(), time >> 8 if flags & 8 else m.crc32 >> 24)
+
+
+def zip_members(data: bytes, password: str | None = None) -> Iterator[Member]:
+    """Entries with their contents; encrypted ones need the password (AES or traditional)."""
+    for m, offset, flags, sealed in zip_directory(data):
         head = data[offset : offset + 30]
         if head[:4] != b"PK\x03\x04" or len(head) < 30:
             m.error = m.error or "bad local header"
         else:
-            lflags, lmethod = struct.unpack_from("<HH", head, 6)
+            lflags, lmethod, time = struct.unpack_from("<HHH", head, 6)
             crc, packed, size, n, extra = struct.unpack_from("<IIIHH", head, 14)
             m.data_offset = offset + 30 + n + extra
             name = data[offset + 30 : offset + 30 + n].decode("utf-8" if lflags & 0x800 else "cp437")
-            label = {0: "stored", 8: "deflate", 93: "zstd"}.get(lmethod, str(lmethod))
+            lsealed = _aes_extra(data[offset + 30 + n : m.data_offset]) if lmethod == 99 else None
+            label = _ZIP_METHODS.get(lsealed[2] if lsealed else lmethod, str(lmethod))
             sizes_differ = not flags & 8 and (crc, packed, size) != (m.crc32, m.packed_size, m.size)
-            if name != m.path or label != m.method or (lflags ^ flags) & 1 or sizes_differ:
+            if name != m.path or label != m.method or (lflags ^ flags) & 1 or sizes_differ or lsealed != sealed:
                 m.error = m.error or "local header differs from the directory"
         if m.type == "file" and not m.error:
             raw = data[m.data_offset : m.data_offset + m.packed_size]
             try:
+                if flags & 1:
+                    raw = _unsealed(raw, m, flags, time, sealed, password)
                 m.content = {"stored": bytes, "deflate": codecs.inflate, "zstd": codecs.unzstd}[m.method](raw) if m.size or raw else b""
-                if len(m.content) != m.size or zlib.crc32(m.content) != m.crc32:
+                unsummed = sealed is not None and sealed[0] == 2  # its code of authentication stands for the checksum
+                if len(m.content) != m.size or not (unsummed or zlib.crc32(m.content) == m.crc32):
                     m.content, m.error = None, "checksum mismatch"
-            except codecs.StreamError as e:
-                m.error = str(e)
+            except (ValueError, codecs.StreamError) as e:
+                m.content, m.error = None, str(e)
         yield m
 
 
@@ -218,6 +256,13 @@ class _Reader:
         low = int.from_bytes(self.take(n), "little")
         return low | (first & (0x7F >> n)) << (8 * n) if n < 8 else low
 
+    def count(self) -> int:
+        """A number of things of which the header has at least a bit each."""
+        n = self.number()
+        if n > 8 * len(self.data):
+            raise ArchiveError("7z header counts more than it holds")
+        return n
+
     def bits(self, n: int) -> list[bool]:
         raw = self.take((n + 7) // 8)
         return [bool(raw[k // 8] >> (7 - k % 8) & 1) for k in range(n)]
@@ -281,11 +326,11 @@ def _streams_info(r: _Reader) -> tuple[int, list[int], list[_Folder]]:
             counts = [1] * len(folders)
             k = r.byte()
             if k == 13:
-                counts = [r.number() for _ in folders]
+                counts = [r.count() for _ in folders]
                 k = r.byte()
             for f, n in zip(folders, counts):
                 sizes = [r.number() for _ in range(n - 1)] if k == 9 else [0] * max(0, n - 1)
-                f.files = [[s, None] for s in sizes] + ([[f.sizes[-1] - sum(sizes), None]] if n else [])
+                f.files = [[s, None] for s in sizes] + ([[f.sizes[0] - sum(sizes), None]] if n else [])
             if k == 9:
                 k = r.byte()
             if k == 10:
@@ -298,13 +343,13 @@ def _streams_info(r: _Reader) -> tuple[int, list[int], list[_Folder]]:
         else:
             raise ArchiveError("unexpected stream property")
     for f in folders:
-        f.files = [[f.sizes[-1], f.crc]] if f.files is None else f.files
+        f.files = [[f.sizes[0], f.crc]] if f.files is None else f.files
         if len(f.files) == 1 and f.files[0][1] is None:
             f.files[0][1] = f.crc
     return pack_at, packed, folders
 
 
-def _unfold(folder: _Folder, raw: bytes) -> bytes:
+def _unfold(folder: _Folder, raw: bytes, password: str | None = None) -> bytes:
     for (name, props), size in zip(reversed(folder.coders), reversed(folder.sizes)) if len(folder.coders) > 1 else zip(folder.coders, folder.sizes):
         kind = _CODERS.get(name)
         try:
@@ -320,6 +365,10 @@ def _unfold(folder: _Folder, raw: bytes) -> bytes:
                 raw = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[spec]).decompress(raw, size) if size else b""
             elif kind == "Deflate":
                 raw = codecs.inflate(raw)
+            elif kind == "AES":
+                if password is None:
+                    raise ArchiveError("encrypted")
+                raw = aes.sevenz_aes_decrypt(raw, props, password)
             else:
                 raise ArchiveError(f"unsupported coder {':'.join(f'{b:02X}' for b in name)}")
         except (lzma.LZMAError, codecs.StreamError) as e:
@@ -332,7 +381,7 @@ def _unfold(folder: _Folder, raw: bytes) -> bytes:
     return raw
 
 
-def sevenz_members(data: bytes) -> Iterator[Member]:
+def sevenz_members(data: bytes, password: str | None = None) -> Iterator[Member]:
     if data[:6] != b"7z\xbc\xaf\x27\x1c" or len(data) < 32:
         raise ArchiveError("not a 7z archive")
     if data[6:8] != b"\0\x04":
@@ -349,7 +398,7 @@ def sevenz_members(data: bytes) -> Iterator[Member]:
     kind = r.byte()
     while kind == 0x17:  # the header itself is a packed stream
         pack_at, packed, folders = _streams_info(r)
-        r = _Reader(_unfold(folders[0], data[32 + pack_at : 32 + pack_at + packed[0]]))
+        r = _Reader(_unfold(folders[0], data[32 + pack_at : 32 + pack_at + packed[0]], password))
         kind = r.byte()
     if kind != 1:
         raise ArchiveError("header expected")
@@ -358,7 +407,7 @@ def sevenz_members(data: bytes) -> Iterator[Member]:
         if kind == 4:
             pack_at, packed, folders = _streams_info(r)
         elif kind == 5:
-            files = [{} for _ in range(r.number())]
+            files = [{} for _ in range(r.count())]
             empty: list[bool] = []
             while (k := r.number()) != 0:
                 n = r.number()
@@ -383,7 +432,7 @@ def sevenz_members(data: bytes) -> Iterator[Member]:
     for folder, n in zip(folders, packed):
         error, raw = None, b""
         try:
-            raw = _unfold(folder, data[offset : offset + n])
+            raw = _unfold(folder, data[offset : offset + n], password)
         except ArchiveError as e:
             error = str(e)
         at = 0
@@ -469,7 +518,26 @@ def rar5_members(data: bytes) -> Iterator[Member]:
     raise ArchiveError("unexpected end")
 
 
-PARSERS: dict[str, Callable[[bytes], Iterator[Member]]] = {"tar": tar_members, "zip": zip_members, "7z": sevenz_members, "rar": rar5_members}
+PARSERS: dict[str, Callable[..., Iterator[Member]]] = {"tar": tar_members, "zip": zip_members, "7z": sevenz_members, "rar": rar5_members}
+#: Containers whose entries may be encrypted.
+SEALED = {"zip", "7z"}
+
+
+def members(container: str | None, data: bytes | None, password: str | None = None) -> Iterator[Member]:
+    """The members of an archive.  Whatever bytes it has, the only error is ArchiveError."""
+    if container not in PARSERS:
+        raise ArchiveError(f"no parser for {container}")
+    found = PARSERS[container](data or b"", password) if container in SEALED else PARSERS[container](data or b"")
+    while True:
+        try:
+            m = next(found)
+        except StopIteration:
+            return
+        except ArchiveError:
+            raise
+        except (ValueError, LookupError, ArithmeticError, struct.error, zlib.error, lzma.LZMAError, MemoryError, RuntimeError, codecs.StreamError) as e:
+            raise ArchiveError(f"damaged {container} archive: {e}") from e
+        yield m
 
 _COLUMNS = {
     "entry_idx": pa.int64(), "path": pa.string(), "type": pa.string(), "size": pa.int64(), "packed_size": pa.int64(), "method": pa.string(),
@@ -478,12 +546,13 @@ _COLUMNS = {
 _SQL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 
-def read_entries(blobs: DataFrame, content: bool = False, fail_fast: bool = False) -> DataFrame:
+def read_entries(blobs: DataFrame, content: bool = False, fail_fast: bool = False, password: str | None = None) -> DataFrame:
     """A row for each entry of ``blobs`` (source_id, container, content).
 
     A damaged archive gives the entries before the damage and one row with an error,
     or raises with ``fail_fast``.  Contents come out only where ``content`` is set;
-    their digest always does.
+    their digest always does.  ``password`` opens encrypted ZIP and 7z entries; it travels
+    with the tasks' code, not in the plan.
     """
     names = [c for c in _COLUMNS if content or c != "content"]
 
@@ -492,9 +561,7 @@ def read_entries(blobs: DataFrame, content: bool = False, fail_fast: bool = Fals
             for source, container, data in zip(*(part.column(k).to_pylist() for k in range(3))):
                 rows = []
                 try:
-                    if container not in PARSERS:
-                        raise ArchiveError(f"no parser for {container}")
-                    for m in PARSERS[container](data or b""):
+                    for m in members(container, data, password):
                         rows.append(m)
                 except ArchiveError as e:
                     if fail_fast:
@@ -525,9 +592,7 @@ def register_udtfs(spark) -> None:
     class Entries:
         def eval(self, container: str, content: bytes):
             try:
-                if container not in PARSERS:
-                    raise ArchiveError(f"no parser for {container}")
-                for k, m in enumerate(PARSERS[container](content)):
+                for k, m in enumerate(members(container, content)):
                     yield k, m.path, m.type, m.size, m.method, m.content, m.error
             except ArchiveError as e:
                 yield -1, "", "error", 0, "", None, str(e)

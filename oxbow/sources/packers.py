@@ -13,6 +13,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
+from oxbow.functions import aes
+from oxbow.functions.hashing import sevenz_key
 from oxbow.sources.codecs import pack_lz4
 
 Entry = tuple[str, bytes]
@@ -34,7 +36,8 @@ def pack_tar(entries: Iterable[Entry]) -> bytes:
     return b"".join([*out, b"\0" * 1024])
 
 
-def pack_zip(entries: Iterable[Entry], method: str = "deflate") -> bytes:
+def pack_zip(entries: Iterable[Entry], method: str = "deflate", password: str | None = None, strength: int = 3) -> bytes:
+    """With a password, entries are sealed by AES and carry no checksum (version 2)."""
     code = {"stored": 0, "deflate": 8, "zstd": 93}[method]
     out, directory, at, n = [], [], 0, 0
     for name, body in entries:
@@ -43,11 +46,14 @@ def pack_zip(entries: Iterable[Entry], method: str = "deflate") -> bytes:
             packed = c.compress(body) + c.flush()
         else:
             packed = zstandard.compress(body) if method == "zstd" else body
-        raw = name.encode()
-        common = struct.pack("<HHHHHIIIHH", 20, 0x800, code, 0, 0x21, zlib.crc32(body), len(packed), len(body), len(raw), 0)
-        directory.append(b"PK\x01\x02" + struct.pack("<H", 20) + common + struct.pack("<HHHII", 0, 0, 0, 0, at) + raw)
-        out += [b"PK\x03\x04" + common + raw, packed]
-        at += 30 + len(raw) + len(packed)
+        raw, extra, flags, crc, kind = name.encode(), b"", 0x800, zlib.crc32(body), code
+        if password is not None:
+            packed = aes.zip_aes_encrypt(packed, password.encode(), strength, aes.digest_salt(name, 4 + 4 * strength))
+            extra, flags, crc, kind = struct.pack("<HHH2sBH", 0x9901, 7, 2, b"AE", strength, code), 0x801, 0, 99
+        common = struct.pack("<HHHHHIIIHH", 20, flags, kind, 0, 0x21, crc, len(packed), len(body), len(raw), len(extra))
+        directory.append(b"PK\x01\x02" + struct.pack("<H", 20) + common + struct.pack("<HHHII", 0, 0, 0, 0, at) + raw + extra)
+        out += [b"PK\x03\x04" + common + raw + extra, packed]
+        at += 30 + len(raw) + len(extra) + len(packed)
         n += 1
     cd = b"".join(directory)
     return b"".join([*out, cd, b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, n, n, len(cd), at, 0)])
@@ -61,8 +67,8 @@ def _number(n: int) -> bytes:
     return b"\xff" + n.to_bytes(8, "little")
 
 
-def pack_7z(entries: list[Entry], coder: str = "LZMA2") -> bytes:
-    """All entries in one folder."""
+def pack_7z(entries: list[Entry], coder: str = "LZMA2", password: str | None = None) -> bytes:
+    """All entries in one folder, sealed by AES if there is a password."""
     body = b"".join(b for _, b in entries)
     if coder == "LZMA2":
         packed, props, code = lzma.compress(body, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 20}]), bytes([18]), b"\x21"
@@ -72,8 +78,14 @@ def pack_7z(entries: list[Entry], coder: str = "LZMA2") -> bytes:
     else:
         packed, props, code = body, b"", b"\0"
     full = [e for e in entries if e[1]]
+    coders, sizes = [(code, props)], [len(body)]
+    if password is not None:
+        salt, iv, size = aes.digest_salt("7z", 8), aes.digest_salt(str(len(body)), 16), len(packed)
+        packed = aes.cbc_encrypt(sevenz_key(password, salt, 6), iv, packed)
+        coders, sizes = [*coders, (b"\x06\xf1\x07\x01", bytes([0xC6, 0x7F]) + salt + iv)], [*sizes, size]
+    chain = b"".join(bytes([len(c) | (0x20 if p else 0)]) + c + (_number(len(p)) + p if p else b"") for c, p in coders)
     streams = b"\x06" + _number(0) + _number(1) + b"\x09" + _number(len(packed)) + b"\0"
-    streams += b"\x07\x0b" + _number(1) + b"\0" + _number(1) + bytes([len(code) | (0x20 if props else 0)]) + code + (_number(len(props)) + props if props else b"") + b"\x0c" + _number(len(body)) + b"\0"
+    streams += b"\x07\x0b" + _number(1) + b"\0" + _number(len(coders)) + chain + (_number(0) + _number(1)) * (len(coders) - 1) + b"\x0c" + b"".join(map(_number, sizes)) + b"\0"
     streams += b"\x08\x0d" + _number(len(full)) + (b"\x09" + b"".join(_number(len(b)) for _, b in full[:-1]) if len(full) > 1 else b"")
     streams += (b"\x0a\x01" + b"".join(struct.pack("<I", zlib.crc32(b)) for _, b in full) if full else b"") + b"\0\0"
     names = b"\0" + b"".join(n.encode("utf-16-le") + b"\0\0" for n, _ in entries)
