@@ -107,7 +107,8 @@ def remove_boilerplate(
             removed.cast("long").alias("n_removed"),
         ]
 
-    met = perhaps.join(hits, "text_key", "left").withColumn("kept", F.when(F.col("cut").isNotNull(), kept))
+    # The cuts grow with the input: they are never broadcast, so that the plan is the same at every size.
+    met = perhaps.join(hits.hint("merge"), "text_key", "left").withColumn("kept", F.when(F.col("cut").isNotNull(), kept))
     cut = F.col("kept").isNotNull()
     touched = met.select(*shown(F.when(cut, F.array_join("kept", "\n")).otherwise(F.col("text")), F.when(cut, n_lines - F.size("kept")).otherwise(0)))
     return touched.union(others.select(*shown(F.col("text"), F.lit(0))))
