@@ -130,11 +130,11 @@ def unsafe_reason(component: Column) -> Column:
     """Why a path component is refused, by the first rule in order; null if it is fine."""
     special = F.regexp_extract(component, r'([<>:"|?*\x00-\x1F])', 1)
     return (
-        F.when(component.contains("\\"), "backslash in tar component")
-        .when(special.rlike(r'^[<>:"|?*]'), "NTFS-reserved character")
-        .when(special != "", "ASCII control character")
-        .when(component.rlike(r"[. ]$"), "trailing dot or space")
-        .when(component.rlike(_DOS), "DOS reserved name")
+        F.when(component.contains("\\"), "backslash")
+        .when(special.rlike(r'^[<>:"|?*]'), "reserved")
+        .when(special != "", "control")
+        .when(component.rlike(r"[. ]$"), "trailing")
+        .when(component.rlike(_DOS), "device")
     )
 
 

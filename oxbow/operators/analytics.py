@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 RATE_SECONDS, RATE_SAMPLES, RATE_SPAN = 10, 64, 1.0
 #: Samples that a resize looks at, and those it needs.
 RESIZE_SAMPLES, RESIZE_LEAST = 64, 8
+#: No second change of size within this time.
+RESIZE_HOLD_US = 30_000_000
+#: Transport failures that another attempt may mend.
+PASSING = ["io", "tls", "transport", "no address"]
 
 
 def progress_rate(samples: DataFrame, seconds: float = RATE_SECONDS, most: int = RATE_SAMPLES, span: float = RATE_SPAN) -> DataFrame:
@@ -62,25 +66,35 @@ def eta_seconds(downloaded: Column, total: Column, rate: Column, extracted: Colu
     return F.greatest(a, b)
 
 
-def resize_decisions(samples: DataFrame) -> DataFrame:
-    """key, n, p95_us, decision from each key's last 64 samples (key, at_us, seq, elapsed_us, retried).
+def resize_decisions(samples: DataFrame, state: DataFrame, least: int, most: int, chunk: int, hold_us: int = RESIZE_HOLD_US) -> DataFrame:
+    """key, n, p95_us, decision, size: whether each key's dispatch size changes now, and to what.
 
-    Shrink if the 95th percentile (nearest rank) exceeds 5 s or over a tenth were
-    retried; grow if all took under 1 s; fewer than 8 samples decide nothing.
+    ``state`` holds a row for each key: key, current, remaining (chunks), workers, changed_us (of the
+    last change, or the start) and now_us.  Only the last 64 samples (key, at_us, seq, elapsed_us,
+    retried) after the last change count.  Within ``hold_us`` of it, or with fewer than 8 samples, a
+    key holds.  It halves, rounded up to whole chunks, if the 95th percentile (nearest rank) exceeds
+    5 s or over a tenth were retried; it doubles, rounded down, if all took under 1 s and two chunks
+    or more remain for each worker.  Sizes stay within ``least`` and ``most``.
     """
-    last = samples.withColumn("rn", F.row_number().over(W.partitionBy("key").orderBy(F.desc("at_us"), F.desc("seq")))).where(F.col("rn") <= RESIZE_SAMPLES)
+    since = samples.join(state.select("key", "changed_us"), "key").where("at_us > changed_us")
+    last = since.withColumn("rn", F.row_number().over(W.partitionBy("key").orderBy(F.desc("at_us"), F.desc("seq")))).where(F.col("rn") <= RESIZE_SAMPLES)
     g = last.groupBy("key").agg(
         F.count("*").alias("n"),
         F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY elapsed_us)").cast("long").alias("p95_us"),
         F.max("elapsed_us").alias("slowest"), F.sum(F.col("retried").cast("long")).alias("retried"),
     )
-    decision = (
-        F.when(F.col("n") < RESIZE_LEAST, "keep")
-        .when((F.col("p95_us") > 5_000_000) | (F.col("retried") * 10 > F.col("n")), "shrink")
-        .when(F.col("slowest") < 1_000_000, "grow")
-        .otherwise("keep")
+    now = state.join(g, "key", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    free = (F.col("now_us") - F.col("changed_us") >= hold_us) & (F.col("n") >= RESIZE_LEAST)
+    slow = (F.col("p95_us") > 5_000_000) | (F.col("retried") * 10 > F.col("n"))
+    plenty = F.col("remaining") >= F.greatest(F.col("workers"), F.lit(1)) * 2
+    half, double = F.greatest(F.expr("current div 2"), F.lit(least)), F.least(F.col("current") * 2, F.lit(most))
+    down = F.when(free & slow & (F.col("current") > least), F.least(half + F.pmod(-half, F.lit(chunk)), F.lit(most)))
+    up = F.when(free & (F.col("slowest") < 1_000_000) & plenty & (F.col("current") < most), F.greatest(double - double % chunk, F.lit(least)))
+    shrinks, grows = F.coalesce(down < F.col("current"), F.lit(False)), F.coalesce(up > F.col("current"), F.lit(False))
+    return now.select(
+        "key", "n", "p95_us", F.when(shrinks, "shrink").when(grows, "grow").otherwise("hold").alias("decision"),
+        F.when(shrinks, down).when(grows, up).otherwise(F.col("current")).cast("long").alias("size"),
     )
-    return g.select("key", "n", "p95_us", decision.alias("decision"))
 
 
 def clamp_and_align(target: Column, least: int, most: int, chunk: int) -> Column:
@@ -101,10 +115,15 @@ def latency_ema(events: DataFrame) -> DataFrame:
     return events.where("ok").groupBy("mirror").agg(ordered.alias("ordered")).select("mirror", fold.alias("ema_ns"))
 
 
-def mirror_exclusions(events: DataFrame, hold_us: int = 30_000_000) -> DataFrame:
-    """Each event with the time until which its mirror is left out, null before any failure."""
-    by = W.partitionBy("mirror").orderBy("at_us", "seq").rowsBetween(W.unboundedPreceding, 0)
-    return events.select("mirror", "at_us", "seq", F.max(F.when(~F.col("ok"), F.col("at_us") + hold_us)).over(by).alias("excluded_until"))
+def mirror_exclusions(events: DataFrame, mirrors: DataFrame, hold_us: int = 30_000_000) -> DataFrame:
+    """Each of ``events`` (source, mirror, at_us, seq, ok) with the time until which its mirror is left out.
+
+    Null before any failure, and always for the only one of a source's ``mirrors`` (source, mirror).
+    """
+    several = mirrors.groupBy("source").agg((F.count_distinct("mirror") > 1).alias("several"))
+    by = W.partitionBy("source", "mirror").orderBy("at_us", "seq").rowsBetween(W.unboundedPreceding, 0)
+    until = F.when(~F.col("ok") & F.col("several"), F.col("at_us") + hold_us)
+    return events.join(several, "source", "left").select("source", "mirror", "at_us", "seq", F.max(until).over(by).alias("excluded_until"))
 
 
 def pick_mirrors(mirrors: DataFrame) -> DataFrame:
@@ -120,6 +139,12 @@ def backoff_schedule(attempts: int, base_ms: int, cap_ms: int) -> Column:
     return F.transform(k, lambda i: F.least((F.lit(base_ms) * F.pow(F.lit(2.0), i)).cast("long"), F.lit(cap_ms).cast("long")))
 
 
-def retryable(kind: Column, status: Column) -> Column:
-    """Transport errors, short bodies and server errors are worth another attempt."""
-    return F.coalesce(kind.isin("transport", "timeout", "short body"), F.lit(False)) | F.coalesce((kind == "status") & (status >= 500), F.lit(False))
+def retryable(kind: Column, status: Column, cause: Column) -> Column:
+    """Whether another attempt may succeed: server errors, bodies cut short or of the wrong length, and
+    transport failures whose ``cause`` may pass.  A bad address, a bad answer, drift, a failed check, a
+    cancelled run or a failed write is final."""
+    return (
+        F.coalesce(kind.isin("body", "length"), F.lit(False))
+        | F.coalesce((kind == "transport") & cause.isin(PASSING), F.lit(False))
+        | F.coalesce((kind == "status") & (status >= 500), F.lit(False))
+    )

@@ -257,8 +257,8 @@ def _paths(spark, d):
     return table(spark, d, "part").select("p_partkey", F.get(arr, (F.col("p_partkey") % len(_PATHS)).cast("int")).alias("path"))
 
 
-_TAR_REASON = r"""CASE WHEN contains(c, '\') THEN 'backslash in tar component' WHEN regexp_matches(c, '[<>:"|?*]') THEN 'NTFS-reserved character' WHEN regexp_matches(c, '[. ]$') THEN 'trailing dot or space'
- WHEN regexp_matches(c, '(?i)^(CON|PRN|AUX|NUL|COM[0-9]|LPT[0-9])(\.|$)') THEN 'DOS reserved name' END"""
+_TAR_REASON = r"""CASE WHEN contains(c, '\') THEN 'backslash' WHEN regexp_matches(c, '[<>:"|?*]') THEN 'reserved' WHEN regexp_matches(c, '[. ]$') THEN 'trailing'
+ WHEN regexp_matches(c, '(?i)^(CON|PRN|AUX|NUL|COM[0-9]|LPT[0-9])(\.|$)') THEN 'device' END"""
 
 
 @query(

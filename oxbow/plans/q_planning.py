@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from oxbow.functions import hashing
 from oxbow.operators import entries, planning, resume
 from oxbow.plans.catalog import query
 from oxbow.plans.q_names import table
@@ -33,12 +34,19 @@ def chunk_plan(spark, d):
 
 @query(
     "chunk_fingerprints",
-    """SELECT doc_id, k AS chunk_idx, sha256(substr(text, CAST(k * 1024 + 1 AS BIGINT), 1024)) AS fingerprint FROM (SELECT doc_id, text, unnest(range((length(text) + 1023) // 1024)) AS k FROM documents)""",
+    f"""WITH RECURSIVE r(b, k, c) AS (SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0x82F63B78}) ELSE c >> 1 END FROM r WHERE k < 8),
+    t AS (SELECT list(c ORDER BY b) AS tab FROM r WHERE k = 8),
+    p AS (SELECT doc_id, k AS chunk_idx, substr(h, CAST(k * 2048 + 1 AS BIGINT), 2048) AS h FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(({_SIZE} + 1023) // 1024)) AS k FROM documents)),
+    x AS (SELECT doc_id, chunk_idx, list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS bytes FROM p)
+    SELECT doc_id, chunk_idx, xor(list_reduce(bytes, lambda c, y: xor(tab[1 + (xor(c, y) & 255)], c >> 8)), CAST(4294967295 AS BIGINT)) AS crc32c FROM x, t""",
 )
 def chunk_fingerprints(spark, d):
-    n = F.floor((F.length("text") + (CHUNK - 1)) / CHUNK).cast("long")
-    docs = table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.substring("text", (k * CHUNK + 1).cast("int"), F.lit(CHUNK)))).alias("chunk_idx", "part"))
-    return docs.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.sha2("part", 256).alias("fingerprint"))
+    """CRC-32C of each chunk of bytes; null and empty texts have no chunk."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    n = F.floor((F.octet_length("content") + (CHUNK - 1)) / CHUNK).cast("int")
+    at = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.cast("long").alias("chunk_idx"), F.substring("content", k * CHUNK + 1, F.lit(CHUNK)).alias("part")))
+    chunks = docs.where(F.octet_length("content") > 0).select("doc_id", F.explode(at).alias("c"))
+    return chunks.select("doc_id", "c.chunk_idx", hashing.crc32c_of(F.col("c.part")).alias("crc32c"))
 
 
 def _parts(spark, d):

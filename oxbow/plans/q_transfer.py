@@ -70,24 +70,46 @@ def eta(spark, d):
     )
 
 
-@query("format_rate", """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '—' WHEN n < 1024 THEN n || ' B/s' ELSE CAST(CAST(round_even(n / 1024.0::DOUBLE, 1) AS DECIMAL(20,1)) AS VARCHAR) || ' KiB/s' END AS shown
-  FROM (SELECT event_id, CAST(floor(value * 100 + 0.5) AS BIGINT) AS n FROM events) WHERE n < 1048576""")
+_SHOWN = "n || ' B/s'"
+for _k, _unit in enumerate(units.UNITS[1:], 1):
+    _SHOWN = f"CASE WHEN n >= {1024**_k} THEN CAST(CAST(round_even(n / CAST({1024**_k} AS DOUBLE), 1) AS DECIMAL(20,1)) AS VARCHAR) || ' {_unit}/s' ELSE {_SHOWN} END"
+
+
+@query(
+    "format_rate",
+    f"""SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '—' ELSE {_SHOWN} END AS shown
+    FROM (SELECT event_id, CAST(floor(value * 100 * CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1e3 WHEN 2 THEN 1e6 ELSE 1e9 END + 0.5) AS BIGINT) AS n FROM events)""",
+)
 def format_rate(spark, d):
-    rate = F.when(F.col("event_id") % 9 == 0, F.lit(-1.0)).otherwise(F.col("value") * 100)
+    e = F.col("event_id")
+    scale = F.when(e % 4 == 0, 1.0).when(e % 4 == 1, 1e3).when(e % 4 == 2, 1e6).otherwise(1e9)
+    rate = F.when(e % 9 == 0, F.lit(-1.0)).otherwise(F.col("value") * 100 * scale)
     return table(spark, d, "events").select("event_id", units.format_rate(rate).alias("shown"))
 
 
 @query(
     "resize_decision",
-    """WITH s AS (SELECT user_id AS key, CAST(floor(value * 100000) AS BIGINT) AS us, event_type = 'error' AS retried, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
-    g AS (SELECT key, count(*) AS n, percentile_disc(0.95) WITHIN GROUP (ORDER BY us) AS p95_us, max(us) AS slow, count(*) FILTER (retried) AS r FROM s WHERE rn <= 64 GROUP BY 1)
-    SELECT key, n, p95_us, CASE WHEN n < 8 THEN 'keep' WHEN p95_us > 5000000 OR r * 10 > n THEN 'shrink' WHEN slow < 1000000 THEN 'grow' ELSE 'keep' END AS decision FROM g""",
+    """WITH e AS (SELECT user_id AS key, epoch_us(ts) AS us_at, event_id, CAST(floor(value * CASE WHEN user_id % 2 = 0 THEN 100000 ELSE 1000 END) AS BIGINT) AS us, event_type = 'error' AND user_id % 4 <> 1 AS retried FROM events),
+    st AS (SELECT key, max(us_at) AS now_us, CASE key % 3 WHEN 0 THEN max(us_at) - 10000000 WHEN 1 THEN min(us_at) - 1 ELSE (min(us_at) + max(us_at)) // 2 END AS changed_us,
+      65536 * (2 + key % 15) AS cur, key % 40 AS remaining, key % 8 AS workers FROM e GROUP BY key),
+    s AS (SELECT e.*, row_number() OVER (PARTITION BY e.key ORDER BY us_at DESC, event_id DESC) AS rn FROM e JOIN st ON e.key = st.key AND us_at > changed_us),
+    g AS (SELECT key, count(*) AS n, percentile_disc(0.95) WITHIN GROUP (ORDER BY us) AS p95_us, max(us) AS slow, count(*) FILTER (retried) AS r FROM s WHERE rn <= 64 GROUP BY key),
+    f AS (SELECT st.*, coalesce(n, 0) AS n, p95_us, slow, r, now_us - changed_us >= 30000000 AND n >= 8 AS free FROM st LEFT JOIN g ON g.key = st.key),
+    h AS (SELECT *, CASE WHEN free AND (p95_us > 5000000 OR r * 10 > n) AND cur > 131072 THEN least((greatest(cur // 2, 131072) + 65535) // 65536 * 65536, 1000000) END AS down,
+      CASE WHEN free AND slow < 1000000 AND remaining >= 2 * greatest(workers, 1) AND cur < 1000000 THEN greatest(least(cur * 2, 1000000) // 65536 * 65536, 131072) END AS up FROM f)
+    SELECT key, n, p95_us, CASE WHEN down < cur THEN 'shrink' WHEN up > cur THEN 'grow' ELSE 'hold' END AS decision, CASE WHEN down < cur THEN down WHEN up > cur THEN up ELSE cur END AS size FROM h""",
 )
 def resize_decision(spark, d):
-    e = table(spark, d, "events").select(
-        F.col("user_id").alias("key"), F.expr("unix_micros(cast(ts as timestamp))").alias("at_us"), F.col("event_id").alias("seq"), F.floor(F.col("value") * 100000).cast("long").alias("elapsed_us"), (F.col("event_type") == "error").alias("retried")
+    k, at = F.col("user_id"), F.expr("unix_micros(cast(ts as timestamp))")
+    elapsed = F.floor(F.col("value") * F.when(k % 2 == 0, 100000).otherwise(1000)).cast("long")
+    samples = table(spark, d, "events").select(
+        k.alias("key"), at.alias("at_us"), F.col("event_id").alias("seq"), elapsed.alias("elapsed_us"), ((F.col("event_type") == "error") & (k % 4 != 1)).alias("retried")
+    )
+    changed = F.expr("CASE key % 3 WHEN 0 THEN max(at_us) - 10000000 WHEN 1 THEN min(at_us) - 1 ELSE (min(at_us) + max(at_us)) div 2 END")
+    state = samples.groupBy("key").agg(F.max("at_us").alias("now_us"), changed.alias("changed_us")).selectExpr(
+        "*", "65536 * (2 + key % 15) AS current", "key % 40 AS remaining", "key % 8 AS workers"
     )
-    return A.resize_decisions(e)
+    return A.resize_decisions(samples, state, 131072, 1_000_000, 65536)
 
 
 @query("clamp_and_align", "SELECT o_orderkey, greatest(h - h % 4096, 20480) AS bytes FROM (SELECT o_orderkey, least(greatest(CAST(floor(o_totalprice) AS BIGINT), 18000), 300000) AS h FROM orders)")
@@ -111,10 +133,14 @@ def mirror_ema(spark, d):
 
 @query(
     "mirror_exclusion",
-    "SELECT user_id AS mirror, epoch_us(ts) AS at_us, event_id AS seq, max(CASE WHEN event_type = 'error' THEN epoch_us(ts) + 30000000 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS excluded_until FROM events",
+    """WITH e AS (SELECT CASE WHEN user_id % 3 = 0 THEN -user_id ELSE user_id % 50 END AS source, user_id AS mirror, epoch_us(ts) AS at_us, event_id AS seq, event_type = 'error' AS bad FROM events),
+    m AS (SELECT source FROM e GROUP BY source HAVING count(DISTINCT mirror) > 1)
+    SELECT source, mirror, at_us, seq, max(CASE WHEN bad AND source IN (SELECT source FROM m) THEN at_us + 30000000 END) OVER (PARTITION BY source, mirror ORDER BY at_us, seq ROWS UNBOUNDED PRECEDING) AS excluded_until FROM e""",
 )
 def mirror_exclusion(spark, d):
-    return A.mirror_exclusions(_outcomes(spark, d))
+    k = F.col("mirror")
+    events = _outcomes(spark, d).withColumn("source", F.when(k % 3 == 0, -k).otherwise(k % 50))
+    return A.mirror_exclusions(events, events.select("source", "mirror").distinct())
 
 
 @query(
@@ -153,12 +179,17 @@ def retry_backoff(spark, d):
 
 @query(
     "retryable",
-    "SELECT event_id, event_id % 4 IN (0, 1) OR (event_id % 4 = 2 AND 400 + event_id % 200 >= 500) AS retry FROM events",
+    """WITH t(k, kind) AS (VALUES (0, 'transport'), (1, 'body'), (2, 'status'), (3, 'drift'), (4, 'length'), (5, 'range'), (6, 'cancelled')),
+    c(k, cause) AS (VALUES (0, 'io'), (1, 'tls'), (2, 'url'), (3, 'no address'), (4, 'name'))
+    SELECT event_id, kind, cause, kind IN ('body', 'length') OR (kind = 'status' AND 400 + event_id % 200 >= 500) OR (kind = 'transport' AND cause NOT IN ('url', 'name')) AS retry
+    FROM events JOIN t ON t.k = event_id % 7 JOIN c ON c.k = event_id % 5""",
 )
 def retryable(spark, d):
     e = F.col("event_id")
-    kind = F.when(e % 4 == 0, "transport").when(e % 4 == 1, "short body").when(e % 4 == 2, "status").otherwise("drift")
-    return table(spark, d, "events").select("event_id", A.retryable(kind, 400 + e % 200).alias("retry"))
+    kinds = F.array(*map(F.lit, ["transport", "body", "status", "drift", "length", "range", "cancelled"]))
+    causes = F.array(*map(F.lit, ["io", "tls", "url", "no address", "name"]))
+    rows = table(spark, d, "events").select("event_id", F.get(kinds, (e % 7).cast("int")).alias("kind"), F.get(causes, (e % 5).cast("int")).alias("cause"))
+    return rows.withColumn("retry", A.retryable(F.col("kind"), 400 + e % 200, F.col("cause")))
 
 
 @query(
