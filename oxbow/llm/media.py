@@ -83,18 +83,20 @@ def directory_of(f, size: int) -> list[tuple[str, int, int, int]]:
     """(name, offset, stored size, checksum) of every member, from an archive's tail."""
     f.seek(size - _END_SIZE)
     end = f.read(_END_SIZE)
-    if end[:4] != _END:
+    if len(end) < _END_SIZE or end[:4] != _END:
         raise MemberError("no archive directory at the end of the file")
-    n_bytes, at = struct.unpack_from("<II", end, 12)
+    n, n_bytes, at = struct.unpack_from("<HII", end, 10)
     f.seek(at)
     raw, out, k = f.read(n_bytes), [], 0
     while k < len(raw):
-        if raw[k : k + 4] != _ENTRY:
+        if len(raw) < k + _ENTRY_SIZE or raw[k : k + 4] != _ENTRY:
             raise MemberError(f"bad directory entry at {at + k}")
         crc, stored, _, name_len, extra, comment = struct.unpack_from("<IIIHHH", raw, k + 16)
         (offset,) = struct.unpack_from("<I", raw, k + 42)
         out.append((raw[k + _ENTRY_SIZE : k + _ENTRY_SIZE + name_len].decode(), offset, stored, crc))
         k += _ENTRY_SIZE + name_len + extra + comment
+    if k != n_bytes or len(out) != n:
+        raise MemberError("the archive directory is not whole")
     return out
 
 
@@ -108,7 +110,7 @@ def read_member(fs: pafs.FileSystem, path: str, offset: int, stored: int, crc: i
             f = held[0]
             f.seek(offset)
             head = f.read(_LOCAL_SIZE)
-            if head[:4] != _LOCAL:
+            if len(head) < _LOCAL_SIZE or head[:4] != _LOCAL:
                 raise MemberError(f"no member at {offset} of {path}")
             skip = sum(struct.unpack_from("<HH", head, 26))
             f.seek(offset + _LOCAL_SIZE + skip)

@@ -494,6 +494,34 @@ def test_members_are_retried_alone(tmp_path):
         f.close()
 
 
+def test_archives_cut_short_are_member_errors(tmp_path):
+    path = tmp_path / "a.zip"
+    archive = media.ArchiveFile(path.open("wb"))
+    for name in (b"1", b"2"):
+        archive.add(name, name * 100)
+    archive.close()
+    whole = path.read_bytes()
+    with path.open("rb") as f:
+        members = media.directory_of(f, len(whole))
+    short = tmp_path / "short.zip"
+
+    class Short:
+        def open_input_file(self, _):
+            return short.open("rb")
+
+    for n in (0, 3, 29, 60, members[1][1] + 10):  # within heads and contents
+        short.write_bytes(whole[:n])
+        with pytest.raises(media.MemberError):
+            media.read_member(Short(), "short.zip", *members[n > 140][1:], [], attempts=1)
+    for n in (22, 60, len(whole) - 1):
+        short.write_bytes(whole[:n])
+        with short.open("rb") as f, pytest.raises(media.MemberError):
+            media.directory_of(f, n)
+    short.write_bytes(whole[:-60] + whole[-40:])  # a directory that ends within an entry
+    with short.open("rb") as f, pytest.raises(media.MemberError):
+        media.directory_of(f, len(whole) - 20)
+
+
 def test_damaged_image():
     image = bytearray(media.encode_image(b"abc"))
     image[50] ^= 1
