@@ -342,8 +342,7 @@ class _Coder:
 
     def learn(self, words: set[str]) -> None:
         if len(self.ids) > WORKER_WORDS:
-            self.ids.clear()
-            self.tokens.clear()
+            self.release()
         new = list(words - self.ids.keys())
         at = self.lexicon.places([w.encode("utf-8", "replace") for w in new]).tolist() if self.lexicon else [-1] * len(new)
         unseen = iter(self.pairs.merge_many([w for w, k in zip(new, at) if k < 0]))
@@ -353,6 +352,10 @@ class _Coder:
             self.ids[w] = " ".join(map(sign, ids))
             self.tokens[w] = " ".join(map(token, ids))
 
+    def release(self) -> None:
+        self.ids.clear()
+        self.tokens.clear()
+
     def forget(self, words: set[str]) -> None:
         for w in words:
             if len(w) > 64:
@@ -365,7 +368,7 @@ def _pairs(path: str) -> WordPairs:
     return WordPairs(path)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _coder(tokenizer: str, lexicon: str) -> _Coder:
     return _Coder(_pairs(tokenizer), Transducer(SparkFiles.get(lexicon)))
 
@@ -460,6 +463,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon: str, id_col: str = "
                     cols += [pa.array(more[0], pa.list_(pa.int32())), pa.array(more[1], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 coder.forget(every)
+        coder.release()  # a worker outlives its task and waits beside those of later stages
+        pa.default_memory_pool().release_unused()
 
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(run, schema + (", ids array<int>, decoded string" if arrays else ""))
