@@ -30,6 +30,8 @@ TEMPER = 1 / GRAM
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0
 #: Share of n-grams of a language that its sample has not shown.
 UNSEEN = 0.3
+#: n-grams that are looked up at once, so that a text of any length needs little memory.
+PIECE = 1 << 16
 UNKNOWN = "und"
 UNKNOWN_PRIOR = 0.005
 #: A text is rejected if it is this surely in none of the languages, or has no letters.
@@ -59,14 +61,11 @@ class TextModel:
         """Tempered log-likelihood of each text under each language."""
         n = len(offsets) - 1
         out = np.zeros((n, self.table.shape[1]))
-        if len(raw) < GRAM:
-            return out
-        slot = _slots(raw)
-        ends = np.maximum(offsets[1:] - GRAM + 1, offsets[:-1])
         for k in range(n):
-            a, b = offsets[k], ends[k]
-            if b > a:
-                out[k] = self.table[slot[a:b]].sum(axis=0, dtype=np.float64)
+            last = max(offsets[k], offsets[k + 1] - GRAM + 1)
+            for a in range(offsets[k], last, PIECE):
+                slot = _slots(raw[a : min(a + PIECE, last) + GRAM - 1])
+                out[k] += self.table[slot].sum(axis=0, dtype=np.float64)
         return out * TEMPER
 
 
@@ -141,6 +140,7 @@ def identify(rows: DataFrame, model: TextModel, keys: tuple[str, ...]) -> DataFr
                 first = _softmax(logs + np.log(start)) * np.asarray(lettered)[:, None]
                 rest = [part.column(c).slice(i, j - i) for c in range(1, part.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, _lists(logs), _lists(first)], names=names)
+        pa.default_memory_pool().release_unused()
 
     picked = rows.select("text", "declared", "host", "suffix", F.coalesce(rows["text"].rlike(r"\p{L}"), F.lit(False)).alias("lettered"), F.struct(*[rows[k] for k in keys]).alias("key"))
     list_ = T.ArrayType(T.DoubleType())
