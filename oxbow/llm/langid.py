@@ -78,8 +78,9 @@ def label_sample(labelled: DataFrame, text_col: str, lang_col: str, sample_rows:
     sizes = {r["lang"]: r["count"] for r in hashed.groupBy("lang").count().collect()}  # a row for each label
     most = max(LABEL_ROWS, sample_rows // max(1, len(sizes)))
     # Hashes are spread evenly: twice as many as are wanted lie below the bound, and are ranked.
-    bounds = [(lang, min((1 << 63) - 1, (2 * most << 64) // n - (1 << 63))) for lang, n in sizes.items()]
-    low = hashed.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("h <= bound")
+    highest = [min((1 << 63) - 1, (2 * most << 64) // n - (1 << 63)) for n in sizes.values()]
+    bounds = labelled.sparkSession.createDataFrame(pa.table({"lang": pa.array(sizes, pa.string()), "bound": pa.array(highest, pa.int64())}))
+    low = hashed.join(F.broadcast(bounds), "lang").where("h <= bound")
     ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     chosen = stage(ranked.where(F.col("rank") <= most).select("lang", "h"), "label-sample")
     short = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES // 4))

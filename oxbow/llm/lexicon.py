@@ -38,7 +38,7 @@ LEXICON_WORDS, STEPS = 100_000, 8
 LEXICON_WORD_BYTES = 48
 _WIDTHS = [next(w for w in (8, 12, 16, 24, LEXICON_WORD_BYTES) if n <= w) for n in range(LEXICON_WORD_BYTES + 1)]
 #: Distinct words that a worker counts or remembers before it lets go of them.
-WORKER_WORDS = 250_000
+WORKER_WORDS = 100_000
 
 # The white space of the tokenizer's pattern language.
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -443,7 +443,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon: str, id_col: str = "
         words_of, sha = coder.pairs.words, hashlib.sha256
         for part in parts:
             _, offsets = text_buffer(part.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, 1 << 20):
                 found = [words_of(t.as_py() or "") for t in part.column(1).slice(i, j - i)]
                 every = set().union(*found)
                 coder.learn(every)
@@ -456,7 +456,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, lexicon: str, id_col: str = "
                     a.append(sha(ids.encode()).hexdigest())
                     b.append(sha(text.encode()).hexdigest())
                     if arrays:
-                        more[0].append(list(map(int, ids.split())))
+                        more[0].append(np.array(ids.split(), np.int32))
                         more[1].append(text)
                 cols = [part.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 if arrays:
