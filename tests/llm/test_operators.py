@@ -101,6 +101,20 @@ def test_languages_of_held_out_rows(spark, sf_dir):
     assert all(r["kept"] for r in got)
 
 
+def test_long_texts_score_by_pieces_as_by_whole():
+    rng = np.random.default_rng(5)
+    lengths = [0, 1, 3, 4, 5, 700, langid.PIECE, langid.PIECE + 3, langid.PIECE + 4, 3 * langid.PIECE + 17, 2, 50]
+    raw = rng.integers(0, 256, sum(lengths)).astype(np.uint8)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    model = langid.TextModel(["a", "b"], np.log(rng.random((langid.SLOTS, 3))).astype(np.float32))
+    got = model.scores(raw, offsets)
+    for k, (a, b) in enumerate(zip(offsets, offsets[1:])):
+        grams = [bytes(langid._LOWER[raw[i : i + langid.GRAM]]) for i in range(a, b - langid.GRAM + 1)]
+        slots = [(int.from_bytes(g, "little") * 2654435761 % (1 << 32)) >> 16 for g in grams]
+        want = model.table[slots].sum(axis=0, dtype=np.float64) if slots else np.zeros(3)
+        assert np.allclose(got[k], want * langid.TEMPER)
+
+
 def test_declaration_and_host_decide_where_text_cannot(spark):
     rng = random.Random(1)
     fr, en = ["le chat noir dort dans la maison", "une belle journée pour les enfants"], ["the black cat sleeps in the house", "a fine day for all the children"]
