@@ -16,12 +16,15 @@ PREFIXES = {
 
 
 def format_bytes(n: Column) -> Column:
-    """``n B`` below 1024, else one decimal (half to even) of the largest unit that fits."""
+    """``n B`` below 1024, else one decimal (half to even) of the largest unit that fits.
+
+    Doubles divide by powers of 1024 without loss; quotients of decimals end after six places.
+    """
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k in range(1, len(UNITS)):
-        value = F.bround((n.cast("decimal(38,0)") / F.lit(1024**k).cast("decimal(20,0)")).cast("decimal(38,12)"), 1)
+        value = F.rint(n.cast("double") / F.lit(float(1024**k)) * 10) / 10
         out = F.when(n >= 1024**k, F.concat(value.cast("decimal(20,1)").cast("string"), F.lit(" " + UNITS[k]))).otherwise(out)
-    return F.when(n >= 0, out)
+    return out
 
 
 def format_rate(rate: Column) -> Column:
